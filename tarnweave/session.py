@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,21 @@ def release(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python workers, once a context; needed where they can't import it."""
+    context = spark.sparkContext
+    if getattr(context, "_tarnweave_shipped", False):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tarnweave-"), "tarnweave.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("tarnweave", os.path.relpath(path, package)))
+    context.addPyFile(target)
+    context._tarnweave_shipped = True
+    return spark
