@@ -27,11 +27,10 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
     wanted = targets.select(source_name("source").alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
     wanted = wanted.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     per_source = sizes.groupBy("source").agg(F.sum("n_tokens").alias("supply"))
-    whole = F.lit(total).cast("double") if total is not None else F.col("_all").cast("double")
     if total is None:
-        wanted = wanted.crossJoin(F.broadcast(sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("_all"))))  # one row
+        total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     plan = wanted.join(per_source, "source", "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
-    plan = plan.withColumn("budget", F.col("target_share") * whole)
+    plan = plan.withColumn("budget", F.col("target_share") * float(total))
     epochs = F.when(F.col("supply") > 0, F.least(F.floor(F.col("budget") / F.col("supply")), F.col("max_repeats"))).otherwise(0).cast("int")
     plan = plan.withColumn("epochs", epochs)
     rest = F.when(F.col("epochs") < F.col("max_repeats"), F.least(F.col("budget") - F.col("epochs") * F.col("supply"), F.col("supply").cast("double"))).otherwise(0.0)
@@ -61,9 +60,8 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, id: str = "doc_id", seed:
     uses = materialise(uses, "uses")
     reached = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("reached"))
     report = plan.join(reached, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
-    everything = report.agg(F.sum("reached").alias("_reached"))
-    report = report.crossJoin(F.broadcast(everything))  # one row
-    report = report.select("source", "target_share", "max_repeats", "supply", "budget", "reached", F.expr("try_divide(reached, _reached)").alias("actual_share"), F.expr("try_divide(reached, budget) * target_share").alias("share_of_total"), "short")
+    everything = uses.agg(F.sum(F.col("n_tokens") * F.col("uses"))).first()[0] or 0
+    report = report.select("source", "target_share", "max_repeats", "supply", "budget", "reached", F.try_divide("reached", F.lit(everything)).alias("actual_share"), (F.try_divide("reached", "budget") * F.col("target_share")).alias("share_of_total"), "short")
     return uses, report
 
 
