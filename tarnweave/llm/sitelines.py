@@ -54,6 +54,20 @@ def repeated_lines(pages: DataFrame, group: str, document: str, page: str, least
     return many.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
+def with_shares(pages: DataFrame, group: str, document: str, page: str, least: int = 3, share: float = 0.15) -> DataFrame:
+    """The pages with column _shares: for each line, the share of its group's documents that hold it; 0 below the bounds."""
+    lines = counted_lines(pages, group, document, page).where(F.col("documents") >= least)
+    sizes = pages.where(F.col(group).isNotNull() & F.col(document).isNotNull()).select(F.xxhash64(group).alias("g"), F.xxhash64(document).alias("d")).distinct().groupBy("g").agg(F.count("*").alias("size"))
+    shares = lines.join(sizes.where(F.col("size") >= least), "g").select("g", "a", (F.col("documents") / F.col("size")).cast("float").alias("share")).where(F.col("share") >= share)
+    # Of lines that share their 64 bits, which next to never happens, the larger share counts.
+    found = materialise(shares.groupBy("g", "a").agg(F.max("share").alias("share")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("a", "share"))).alias("known")), "shares")
+    size = found.agg(F.count("*").alias("n"), F.sum(F.size("known")).alias("lines")).first()
+    joined = with_small(pages.withColumn("g", F.xxhash64(group)), found, ["g"], size["n"] + (size["lines"] or 0), 40, "left")
+    of_line = F.transform(line_keys(page), lambda k: F.when(F.length(k) >= LEAST_LETTERS, F.coalesce(F.try_element_at(F.col("known"), F.xxhash64(k)), F.lit(0.0).cast("float"))).otherwise(F.lit(0.0).cast("float")))
+    none = F.array().cast("array<float>")
+    return joined.withColumn("_shares", F.coalesce(F.when(F.col("known").isNotNull(), of_line), none)).drop("g", "known")
+
+
 def with_repeated(pages: DataFrame, group: str, document: str, page: str, **rule) -> DataFrame:
     """The pages with column _numbers: the numbers of their lines, from 1, that `repeated_lines` finds in their group."""
     found = materialise(repeated_lines(pages, group, document, page, **rule), "repeated")
