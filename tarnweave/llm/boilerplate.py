@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -248,22 +248,32 @@ def label_lines(pages: DataFrame, id: str = "fetch_id", page: str = "page", url:
     Null, empty and blank pages and pages of one line have an empty frame. Null urls have no site, null titles no title.
     Repeated rows give repeated results. Other columns are left out.
     """
+
+    def parts(texts: list[str], cuts: list[tuple[list[int], list[bool]]]) -> dict[str, pa.Array]:
+        kind = pa.list_(pa.int32())
+        body = [[n for n, c in zip(*x, strict=True) if not c] for x in cuts]
+        frame = [[n for n, c in zip(*x, strict=True) if c] for x in cuts]
+        return {"body": pa.array(body, kind), "frame": pa.array(frame, kind)}
+
+    return over_pages(pages, parts, "body array<int>, frame array<int>", id, page, url, title)
+
+
+def over_pages(pages: DataFrame, make: Callable[[list[str], list], dict[str, pa.Array]], schema: str, id: str, page: str, url: str, title: str) -> DataFrame:  # noqa: A002
+    """id and the columns that `make(texts, cuts)` gives for batches of pages with their lines' numbers and sides."""
     rows = pages.select(F.col(id).alias("_id"), F.col(page).alias("page"), F.col(url).alias("url"), F.col(title).alias("title"), host_of(url).alias("host"))
     shared = with_shares(rows, "host", "url", "page").where(F.col("page").isNotNull()).select("_id", "page", "url", "title", "_shares")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = labeller()
-        for batch in batches:
-            body, frame = [], []
-            for text, url_, title_, shares in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "title", "_shares")), strict=True):
-                numbers, cut = of.page(text, shares, title_, url_)
-                body.append([n for n, c in zip(numbers, cut, strict=True) if not c])
-                frame.append([n for n, c in zip(numbers, cut, strict=True) if c])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(body, kind), pa.array(frame, kind)], ["_id", "body", "frame"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                columns = [batch.column(c).to_pylist() for c in ("page", "_shares", "title", "url")]
+                made = make(columns[0], [of.page(*x) for x in zip(*columns, strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), *made.values()], ["_id", *made])
 
     kind = dict(rows.dtypes)["_id"]
-    return shared.mapInArrow(run, f"_id {kind}, body array<int>, frame array<int>").withColumnRenamed("_id", id)
+    return shared.mapInArrow(run, f"_id {kind}, {schema}").withColumnRenamed("_id", id)
 
 
 def main_body(pages: DataFrame, id: str = "fetch_id", page: str = "page", url: str = "url", title: str = "title") -> DataFrame:  # noqa: A002
