@@ -1,6 +1,511 @@
-"""Every query by name, with its SQL."""
+"""Every query of the engine by name, with SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnweave.functions import text as T
+from tarnweave.functions import urls as U
+from tarnweave.functions.hashing import encode_key_column, hash_key
+from tarnweave.functions.similarity import complete, jaro_winkler_column, suggest
+from tarnweave.operators.flow import Flow, PairFlow
+from tarnweave.plans import crawl as C
+from tarnweave.plans import index as I
+from tarnweave.plans import rank as R
+from tarnweave.plans import search as S
+from tarnweave.sources.packed import latest_scores, unpack
+from tarnweave.sources.tables import latest_rows, page_of
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def _pairs(df: DataFrame, key: str, value: str) -> PairFlow:
+    return PairFlow(df.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value")))
+
+
+# Tables
+
+
+@query("SELECT o_orderkey || ':' || o_orderpriority AS value FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority IS NOT NULL")
+def from_table(spark, folder):
+    """IO-1: a string a row; rows that give null are left out."""
+    orders = read(spark, folder, "orders").where("o_orderstatus <> 'O'")
+    return Flow.from_table(orders, lambda c: F.concat(c("o_orderkey").cast("string"), F.lit(":"), c("o_orderpriority"))).df
+
+
+@query("SELECT * FROM (VALUES ('a'), ('a'), ('b')) AS t(value)")
+def parallelize(spark, folder):
+    """IO-2."""
+    return Flow.parallelize(spark, ["a", "a", "b"]).df
+
+
+@query("SELECT c_name, c_custkey FROM customer WHERE c_name >= 'Customer#000000050' AND c_name < 'Customer#000000150'")
+def scan_range(spark, folder):
+    """IO-3: a half-open range of keys, pushed to the scan."""
+    return read(spark, folder, "customer").where("c_name >= 'Customer#000000050' AND c_name < 'Customer#000000150'").select("c_name", "c_custkey")
+
+
+@query("SELECT * FROM customer WHERE c_custkey = 42")
+def get_row(spark, folder):
+    """IO-4."""
+    return read(spark, folder, "customer").where("c_custkey = 42")
+
+
+@query("SELECT c_mktsegment FROM customer WHERE c_custkey = 42")
+def get_cell(spark, folder):
+    """IO-5."""
+    return read(spark, folder, "customer").where("c_custkey = 42").select("c_mktsegment")
+
+
+@query("SELECT count(*) > 0 AS found FROM customer WHERE c_custkey = 42")
+def exists_row(spark, folder):
+    """IO-6."""
+    return read(spark, folder, "customer").where("c_custkey = 42").agg((F.count("*") > 0).alias("found"))
+
+
+@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def put_merge(spark, folder):
+    """IO-7: cells are merged, the last put of each (row, column) holds."""
+    events = read(spark, folder, "events")
+    return events.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+@query("SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def put_row(spark, folder):
+    """IO-8: whole rows are replaced."""
+    return latest_rows(read(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"])
+
+
+@query("SELECT count(DISTINCT key) AS rows FROM crawl")
+def count_keys(spark, folder):
+    """IO-11: rows of a keyed table."""
+    return read(spark, folder, "crawl").select("key").distinct().agg(F.count("key").alias("rows"))
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey >= 100 ORDER BY p_partkey LIMIT 10")
+def table_view_page(spark, folder):
+    """IO-16: a page of a table by key."""
+    return page_of(read(spark, folder, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey", 100)
+
+
+@query("SELECT n_regionkey::VARCHAR AS key, list_sort(list(n_name))[1] AS first_name, count(*) AS n_values FROM nation GROUP BY 1")
+def save_pairs(spark, folder):
+    """IO-19: a row for each key with its values."""
+    values = F.sort_array(F.collect_list("value"))
+    return _pairs(read(spark, folder, "nation"), "n_regionkey", "n_name").df.groupBy("key").agg(values[0].alias("first_name"), F.size(values).cast("bigint").alias("n_values"))
+
+
+@query("SELECT DISTINCT url, regexp_replace(url, '[^A-Za-z0-9-]', '', 'g') AS plain FROM crawl WHERE url IS NOT NULL")
+def encoded_keys(spark, folder):
+    """IO-26: encoded file names of keys; taking the escapes out again leaves the plain letters."""
+    urls = read(spark, folder, "crawl").where("url is not null").select("url").distinct()
+    return urls.select("url", F.regexp_replace(encode_key_column("url"), "_[0-9a-f]{2,4}", "").alias("plain")).where(F.col("plain").isNotNull())
+
+
+# Flows
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def count(spark, folder):
+    """R-1."""
+    return read(spark, folder, "lineitem").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT l_returnflag || l_linestatus AS value FROM lineitem")
+def distinct(spark, folder):
+    """R-2."""
+    return Flow(read(spark, folder, "lineitem").select(F.concat("l_returnflag", "l_linestatus"))).distinct().df
+
+
+@query("SELECT p_name AS value FROM part ORDER BY p_partkey LIMIT 7")
+def take(spark, folder):
+    """R-3."""
+    return read(spark, folder, "part").orderBy("p_partkey").limit(7).select(F.col("p_name").alias("value"))
+
+
+@query("SELECT sum(l_quantity) AS total FROM lineitem")
+def fold(spark, folder):
+    """R-4: a fold that is a sum; other associative functions go through Flow.fold."""
+    return read(spark, folder, "lineitem").agg(F.sum("l_quantity").alias("total"))
+
+
+@query("SELECT string_agg(n_name, '' ORDER BY n_name) AS value FROM nation")
+def fold_concat(spark, folder):
+    """R-4: an ordered concatenation."""
+    return read(spark, folder, "nation").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "").alias("value"))
+
+
+@query("SELECT word AS value, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL) WHERE word <> '' GROUP BY 1")
+def flat_map(spark, folder):
+    """R-5: the words of all documents, counted."""
+    words = Flow(read(spark, folder, "documents").select("text")).flat_map(lambda v: F.filter(F.split(v, " "), lambda w: w != ""))
+    return words.df.groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT key, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS key FROM documents WHERE text IS NOT NULL) WHERE key <> '' GROUP BY 1")
+def flat_map_to_pair(spark, folder):
+    """R-6: pairs of word and document, counted by word."""
+    docs = read(spark, folder, "documents").where("text is not null")
+    packed = Flow(docs.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "text")))
+
+    def pairs(v):
+        words = F.filter(F.split(F.substring_index(F.regexp_replace(v, r"^[0-9]+\t", ""), "\x00", 1), " "), lambda w: w != "")
+        return F.transform(words, lambda w: F.struct(w.alias("key"), F.substring_index(v, "\t", 1).alias("value")))
+
+    return packed.flat_map_to_pair(pairs).df.groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment AS key, c_custkey::VARCHAR AS value FROM customer WHERE c_acctbal > 0")
+def map_to_pair(spark, folder):
+    """R-7."""
+    return _pairs(read(spark, folder, "customer").where("c_acctbal > 0"), "c_mktsegment", "c_custkey").df
+
+
+@query("SELECT c_nationkey::VARCHAR AS value FROM customer INTERSECT SELECT s_nationkey::VARCHAR FROM supplier")
+def intersection(spark, folder):
+    """R-8: each common element once."""
+    customers, suppliers = Flow(read(spark, folder, "customer").select("c_nationkey")), Flow(read(spark, folder, "supplier").select("s_nationkey"))
+    return customers.intersection(suppliers).df
+
+
+@query("SELECT o_orderkey::VARCHAR AS value FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT < floor(0.1 * 4294967296)")
+def sample_by_hash(spark, folder):
+    """R-9, the same on every run; Flow.sample is the random one."""
+    return Flow(read(spark, folder, "orders").select("o_orderkey")).sample_by_hash(0.1).df
+
+
+@query("SELECT n_regionkey::VARCHAR AS key, string_agg(n_name, ',' ORDER BY n_name) AS value FROM nation GROUP BY 1")
+def group_by(spark, folder):
+    """R-10: members with commas between."""
+    return _pairs(read(spark, folder, "nation"), "n_regionkey", "n_name").join_values(",").df
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND value > 50")
+def filter_rows(spark, folder):
+    """R-11."""
+    return read(spark, folder, "events").where("event_type = 'click' AND value > 50").select("event_id", "event_type")
+
+
+@query("SELECT upper(p_brand) || '!' AS value FROM part")
+def map_partitions(spark, folder):
+    """R-12: a Python iterator over each partition."""
+    return Flow(read(spark, folder, "part").select("p_brand")).map_partitions(lambda values: (v.upper() + "!" for v in values)).df
+
+
+@query("SELECT l_suppkey AS key, sum(l_quantity) AS value FROM lineitem GROUP BY 1")
+def fold_by_key_sum(spark, folder):
+    """P-1."""
+    return read(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.sum("l_quantity").alias("value"))
+
+
+@query("SELECT s_nationkey::VARCHAR AS key, string_agg(s_name, ',' ORDER BY s_name) AS value FROM supplier GROUP BY 1")
+def fold_by_key_concat(spark, folder):
+    """P-1."""
+    return _pairs(read(spark, folder, "supplier"), "s_nationkey", "s_name").join_values(",").df
+
+
+@query("SELECT unnest([event_type, user_id::VARCHAR]) AS value FROM events WHERE event_type IS NOT NULL")
+def pair_flat_map(spark, folder):
+    """P-2."""
+    return _pairs(read(spark, folder, "events"), "event_type", "user_id").flat_map(lambda k, v: F.array(k, v)).df
+
+
+@query("SELECT user_id::VARCHAR AS key, event_type AS value FROM events WHERE event_type IS NOT NULL UNION ALL SELECT event_type, user_id::VARCHAR FROM events WHERE event_type IS NOT NULL")
+def pair_flat_map_to_pair(spark, folder):
+    """P-3."""
+    both = lambda k, v: F.array(F.struct(v.alias("key"), k.alias("value")), F.struct(k.alias("key"), v.alias("value")))
+    return _pairs(read(spark, folder, "events"), "event_type", "user_id").flat_map_to_pair(both).df
+
+
+@query("SELECT n_nationkey::VARCHAR AS key, n_name || ',' || c_name AS value FROM nation JOIN customer ON n_nationkey = c_nationkey")
+def pair_join(spark, folder):
+    """P-4."""
+    return _pairs(read(spark, folder, "nation"), "n_nationkey", "n_name").join(_pairs(read(spark, folder, "customer"), "c_nationkey", "c_name")).df
+
+
+@query(
+    "SELECT key, '[' || coalesce(string_agg(value, ',' ORDER BY value) FILTER (side = 0), '') || '],[' || coalesce(string_agg(value, ',' ORDER BY value) FILTER (side = 1), '') || ']' AS value FROM (SELECT s_nationkey::VARCHAR AS key, s_name AS value, 0 AS side FROM supplier UNION ALL SELECT c_nationkey::VARCHAR, c_name, 1 FROM customer WHERE c_acctbal < 0) GROUP BY 1"
+)
+def cogroup(spark, folder):
+    """P-5: keys of either side."""
+    customers = read(spark, folder, "customer").where("c_acctbal < 0")
+    return _pairs(read(spark, folder, "supplier"), "s_nationkey", "s_name").cogroup(_pairs(customers, "c_nationkey", "c_name")).df
+
+
+# Text and urls
+
+_HASH = "array_to_string(list_transform(list_transform(list_transform(range(20), lambda i: ('0x' || substr(sha1({0}), 2 * i + 1, 2))::INT), lambda x: CASE WHEN x = 0 THEN 255 WHEN x < 128 THEN x ELSE x - 1 END), lambda x: chr((97 + x % 26)::INT) || substr('acegikmoqs', (x // 26 + 1)::INT, 1)), '')"
+_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<script\b.*?</script\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[^a-zA-Z0-9\s]', ' ', 'g')"
+
+
+def _page_sql(column: str) -> str:
+    words = "|".join(sorted({w for w in T.STOP_WORDS if w.isalnum()}))
+    layout = f"regexp_replace({_VISIBLE.format(column)}, '{T.LAYOUT_WORDS}', ' ', 'g')"
+    return rf"trim(lower(regexp_replace(regexp_replace({layout}, '(?i)\b({words})\b', ' ', 'g'), '\s+', ' ', 'g')))"
+
+
+@query(f"SELECT DISTINCT url, {_HASH.format('url')} AS key FROM crawl WHERE url IS NOT NULL")
+def hash_url(spark, folder):
+    """S-1."""
+    return read(spark, folder, "crawl").where("url is not null").select("url").distinct().withColumn("key", hash_key("url"))
+
+
+@query(f"SELECT fetch_id, {_page_sql('page')} AS text FROM crawl WHERE page IS NOT NULL")
+def page_text(spark, folder):
+    """T-1, T-6."""
+    return read(spark, folder, "crawl").where("page is not null").select("fetch_id", T.page_text("page").alias("text"))
+
+
+@query("SELECT fetch_id, regexp_extract('<title>' || coalesce(title, '') || '</title>' || page, '(?s)<title>(.*?)</title>', 1) AS title FROM crawl WHERE page IS NOT NULL")
+def page_title(spark, folder):
+    """T-3, on pages with their stored titles put back."""
+    html = F.concat(F.lit("<title>"), F.coalesce("title", F.lit("")), F.lit("</title>"), "page")
+    return read(spark, folder, "crawl").where("page is not null").select("fetch_id", T.page_title(html).alias("title"))
+
+
+@query(
+    rf"""SELECT fetch_id, CASE WHEN fetch_id % 2 = 0 AND coalesce(title, '') <> '' THEN replace(title, '"', '') WHEN contains(left(v, 50), 'wikipedia') THEN left(v, strpos(v, 'wikipedia') + 8) ELSE left(v, 50) END AS description
+    FROM (SELECT fetch_id, title, CASE WHEN fetch_id % 2 = 0 AND coalesce(title, '') <> '' THEN NULL ELSE {_VISIBLE.format("page")} END AS v FROM crawl WHERE page IS NOT NULL)"""
+)
+def page_description(spark, folder):
+    """T-4: half of the pages get a meta tag made of their title, the others fall back to their text."""
+    meta = F.concat(F.lit('<meta name="description" content="'), F.regexp_replace("title", '"', ""), F.lit('">'), "page")
+    html = F.when((F.col("fetch_id") % 2 == 0) & (F.coalesce("title", F.lit("")) != ""), meta).otherwise(F.col("page"))
+    return read(spark, folder, "crawl").where("page is not null").select("fetch_id", T.page_description(html).alias("description"))
+
+
+@query(
+    r"""SELECT fetch_id, link, count(*) AS n FROM (SELECT fetch_id, unnest(list_transform(regexp_extract_all(page, '(?i)(<a(?:\s+\w+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))+\s*/?>)', 1), lambda t: trim(regexp_extract(t, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(t, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(t, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)))) AS link FROM crawl WHERE page IS NOT NULL) WHERE link <> '' GROUP BY ALL"""
+)
+def page_links(spark, folder):
+    """T-2: links in the pages that hold HTML."""
+    links = read(spark, folder, "crawl").where("page is not null").select("fetch_id", F.explode(T.page_links("page")).alias("link"))
+    return links.groupBy("fetch_id", "link").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT DISTINCT url, regexp_extract(url, '^([^:/]+)://', 1) AS protocol, regexp_extract(url, '^[^:/]+://([^:/]*)', 1) AS host, regexp_extract(url, '^[^:/]+://[^:/]*:([0-9]*)', 1) AS port, regexp_extract(url, '^[^:/]+://[^/]*(/.*)$', 1) AS path FROM crawl WHERE url IS NOT NULL")
+def url_parse(spark, folder):
+    """U-1."""
+    urls = read(spark, folder, "crawl").where("url is not null").select("url").distinct()
+    part = U.url_parts("url")
+    return urls.select("url", *(part[k].alias(k) for k in ("protocol", "host", "port", "path")))
+
+
+@query(
+    r"""SELECT link, lower(regexp_extract(link, '^([a-zA-Z]+)://', 1)) || '://' || regexp_extract(link, '://([^/?#:]+)', 1) || ':' || coalesce(nullif(regexp_extract(link, '://[^/?#:]+:([0-9]+)', 1), ''), CASE WHEN link ILIKE 'https%' THEN '443' ELSE '80' END) || coalesce(nullif(regexp_extract(link, '://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(link, '(\?[^#]+)', 1) AS url
+    FROM (SELECT DISTINCT unnest(urls) AS link FROM crawl) WHERE link IS NOT NULL AND NOT regexp_matches(regexp_extract(link, '://[^/?#]+([^?#]*)', 1), '(?i)\.(jpg|jpeg|gif|png|txt)$')"""
+)
+def url_normalize(spark, folder):
+    """U-2, U-3: absolute links in their normal form."""
+    links = read(spark, folder, "crawl").select(F.explode("urls").alias("link")).where("link is not null").distinct()
+    return links.select("link", U.normalized_absolute("link").alias("url")).where("url is not null")
+
+
+@query(r"SELECT DISTINCT url FROM frontier WHERE url IS NOT NULL AND regexp_matches(url, '^[\x00-\x7F]*$') AND NOT regexp_matches(url, '(?i)\.(jpg|jpeg|gif|png|txt)$')")
+def url_filter(spark, folder):
+    """U-3, U-6."""
+    urls = read(spark, folder, "frontier").where("url is not null").where(U.is_ascii("url") & ~U.is_ignored("url"))
+    return urls.select("url").distinct()
+
+
+_BLACKLIST = ("*/index.php*", "http://*", "*.invalid:443/life/*")
+
+
+@query(r"SELECT DISTINCT url FROM crawl WHERE url IS NOT NULL AND NOT regexp_full_match(url, '.*/index\.php.*|http://.*|.*\.invalid:443/life/.*')")
+def blacklist(spark, folder):
+    """U-5."""
+    return read(spark, folder, "crawl").where("url is not null").where(~U.is_blacklisted("url", _BLACKLIST)).select("url").distinct()
+
+
+@query()
+def robots_decision(spark, folder):
+    """U-7, U-8, U-9: what the hosts' robots texts say of the frontier's urls."""
+    urls = read(spark, folder, "frontier").where("url is not null").select("url").distinct()
+    keyed = urls.withColumn("key", hash_key(U.host_key_name("url"))).withColumn("path", U.url_parts("url")["path"])
+    hosts = read(spark, folder, "hosts").where("key is not null").groupBy("key").agg(F.max(F.struct("lastaccessedms", "robots")).alias("h"))
+    known = keyed.join(hosts, "key", "left")
+    decide = U.robots_decisions("tarnweave-crawler")
+    return known.select("url", decide("h.robots", "path", F.lit(0).cast("bigint"), "h.lastaccessedms").alias("decision"))
+
+
+# Jobs
+
+_CURRENT = "current AS (SELECT key, url, page, urls FROM crawl WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY stored_at DESC NULLS LAST, fetched_at DESC NULLS LAST, fetch_id DESC NULLS LAST) = 1)"
+_TEXTS = f"{_CURRENT}, texts AS (SELECT key, url, {_page_sql('page')} AS page FROM current WHERE url IS NOT NULL AND page IS NOT NULL)"
+_INDEX = f"{_TEXTS}, idx AS (SELECT DISTINCT key, lower(w) AS word FROM (SELECT key, unnest(regexp_split_to_array(page, '[.,:;!?''\"()\\-]|\\s')) AS w FROM texts) WHERE trim(w) <> '')"
+
+
+def _current(spark: SparkSession, folder: str) -> DataFrame:
+    return I.current_pages(read(spark, folder, "crawl"))
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return _current(spark, folder).withColumn("page", T.page_text("page"))
+
+
+@query(f"WITH {_INDEX} SELECT word, count(*) AS documents FROM idx GROUP BY 1")
+def inverted_index(spark, folder):
+    """J-1: words with the number of their pages."""
+    return I.document_frequency(I.postings(_texts(spark, folder)))
+
+
+@query(f"WITH {_INDEX} SELECT word, 0 AS part, string_agg(key, ',' ORDER BY key) AS value FROM idx GROUP BY 1")
+def packed_index(spark, folder):
+    """J-1: words with their packed keys, in parts of bounded size."""
+    return I.packed_index(I.postings(_texts(spark, folder)))
+
+
+_TFIDF = f"""{_INDEX},
+    df AS (SELECT word, count(*) AS n FROM idx GROUP BY 1), total AS (SELECT count(*) AS n FROM current),
+    counts AS (SELECT key, w AS word, count(*) AS n FROM (SELECT key, unnest(string_split(page, ' ')) AS w FROM texts) GROUP BY ALL),
+    tf AS (SELECT key, word, 0.4 + 0.6 * n / max(n) OVER (PARTITION BY key) AS tf FROM counts),
+    weights AS (SELECT tf.word, tf.key, ln(1 + tf * ln((SELECT n FROM total) / df.n)) AS weight FROM tf JOIN df ON tf.word = df.word)"""
+
+
+@query(f"WITH {_TFIDF} SELECT word, key, round(weight, 6) + 0.0 AS weight FROM weights")
+def tf_idf(spark, folder):
+    """J-3."""
+    return I.tf_idf(_texts(spark, folder)).select("word", "key", (F.round("weight", 6) + 0.0).alias("weight"))
+
+
+_RANKS = "latest AS (SELECT key, rank FROM pageranks WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY saved_at DESC NULLS LAST, rank DESC NULLS LAST) = 1)"
+
+
+@query(
+    f"WITH {_TFIDF}, {_RANKS} SELECT word, url, round(CASE WHEN weight + ln(1 + rank) = 0 THEN NULL ELSE 2 * weight * ln(1 + rank) / (weight + ln(1 + rank)) END, 6) + 0.0 AS score FROM weights JOIN texts USING (key) JOIN latest USING (key) WHERE rank IS NOT NULL AND NOT isnan(rank) AND NOT contains(url, '...')"
+)
+def combined_scores(spark, folder):
+    """J-4."""
+    texts = _texts(spark, folder)
+    found = I.combined_scores(texts, I.tf_idf(texts), I.latest_ranks(read(spark, folder, "pageranks")))
+    return found.select("word", "url", (F.round("score", 6) + 0.0).alias("score"))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = [
+        f"""r{k} AS MATERIALIZED (SELECT r.id, 0.15 + coalesce(s.v, 0) AS rank FROM r{k - 1} r LEFT JOIN (SELECT dst, sum(0.85 / degree * rank) AS v FROM edges JOIN r{k - 1} q ON q.id = src GROUP BY dst) s ON s.dst = r.id)"""
+        for k in range(1, rounds + 1)
+    ]
+    return f"""{_CURRENT}, nodes AS (SELECT key AS id, urls FROM current WHERE url IS NOT NULL AND page IS NOT NULL),
+    links AS (SELECT id AS src, unnest(list_distinct(urls)) AS url FROM nodes), hashed AS (SELECT src, {_HASH.format("url")} AS dst FROM links WHERE url IS NOT NULL),
+    edges AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM hashed), r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM nodes), {", ".join(steps)}"""
+
+
+@query(f"WITH {_pagerank_sql(5)} SELECT id, round(rank, 6) AS rank FROM r5")
+def pagerank_fixed_k(spark, folder):
+    """J-2: five rounds over the crawl's links."""
+    return R.pagerank(*R.link_graph(_current(spark, folder)), rounds=5).select("id", F.round("rank", 6).alias("rank"))
+
+
+_MOST = 40
+_MOVES = " UNION ALL ".join(f"SELECT {k} AS k, max(abs(a.rank - b.rank)) AS moved FROM r{k} a JOIN r{k - 1} b USING (id)" for k in range(1, _MOST + 1))
+_ALL = " UNION ALL ".join(f"SELECT {k} AS k, id, rank FROM r{k}" for k in range(1, _MOST + 1))
+
+
+@query(f"WITH {_pagerank_sql(_MOST)}, moves AS ({_MOVES}), states AS ({_ALL}) SELECT id, round(rank, 6) AS rank FROM states WHERE k = (SELECT min(k) FROM moves WHERE moved < 0.01)")
+def pagerank_converged(spark, folder):
+    """J-2: until no rank moves by 0.01."""
+    return R.pagerank(*R.link_graph(_current(spark, folder)), threshold=0.01).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(
+    r"""WITH deeper AS (SELECT to_ AS url, min(coalesce(f.depth, 0) + 1) AS depth FROM (SELECT url, unnest(urls) AS to_ FROM crawl) l JOIN frontier f USING (url) WHERE to_ IS NOT NULL AND coalesce(f.depth, 0) + 1 < 3 GROUP BY 1)
+    SELECT url, depth::INT AS depth FROM deeper WHERE regexp_matches(url, '^[\x00-\x7F]*$') AND regexp_matches(url, '^[a-z]+://[^/?#:]+:[0-9]+/[^#]*$') AND NOT regexp_matches(url, '(?i)\.(jpg|jpeg|gif|png|txt)$') AND url NOT IN (SELECT url FROM crawl WHERE url IS NOT NULL)"""
+)
+def crawl_frontier_step(spark, folder):
+    """J-5: the links of the frontier's urls that are new, at their least depth."""
+    crawl = read(spark, folder, "crawl")
+    links = crawl.select("url", F.explode("urls").alias("to"))
+    return C.next_frontier(read(spark, folder, "frontier"), links, crawl.select("url").where("url is not null"))
+
+
+@query(f"SELECT url, {_HASH.format('url')} AS key, regexp_extract(page, '(?s)<title>(.*?)</title>', 1) AS title, {_page_sql('page')} AS page FROM crawl WHERE page IS NOT NULL AND url IS NOT NULL GROUP BY ALL")
+def page_extraction(spark, folder):
+    """C-1: extraction from stored pages."""
+    pages = read(spark, folder, "crawl").where("page is not null and url is not null").select("url", "page").distinct()
+    return C.extract(pages, html="page").select("url", "key", "title", "page").distinct()
+
+
+# Serving
+
+_SCORES = r"""scores AS (SELECT word, url, score FROM (
+    SELECT word, trim(regexp_extract(part, '^(.*),[^,]*$', 1, 's')) AS url, TRY_CAST(trim(regexp_extract(part, ',([^,]*)$', 1, 's')) AS DOUBLE) AS score, saved_at, put_id
+    FROM (SELECT word, saved_at, put_id, unnest(string_split(value, ';')) AS part FROM combinedscores WHERE word IS NOT NULL AND value IS NOT NULL) WHERE contains(part, ','))
+  WHERE score IS NOT NULL AND isfinite(score) AND url <> '' QUALIFY row_number() OVER (PARTITION BY word, url ORDER BY saved_at DESC NULLS LAST, put_id DESC NULLS LAST, score DESC) = 1)"""
+_ASKED = "harbour lantern harbour"
+_HITS = f"{_SCORES}, hits AS (SELECT url, sum(score * CASE word WHEN 'harbour' THEN 2 ELSE 1 END) AS score FROM scores WHERE word IN ('harbour', 'lantern') GROUP BY 1)"
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    return latest_scores(read(spark, folder, "combinedscores"))
+
+
+@query(f"WITH {_SCORES} SELECT word, count(*) AS urls, round(max(score), 6) AS best FROM scores GROUP BY 1")
+def unpacked_scores(spark, folder):
+    """Packed postings as rows, counted by word."""
+    return _scores(spark, folder).groupBy("word").agg(F.count("*").alias("urls"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query(f"WITH {_HITS} SELECT url, round(score, 6) AS score FROM hits ORDER BY round(score, 9) DESC, url LIMIT 10")
+def search_page1(spark, folder):
+    """Q-1, Q-2: a repeated word counts twice."""
+    return S.search(_scores(spark, folder), _ASKED, 1).select("url", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_HITS} SELECT url, round(score, 6) AS score FROM hits ORDER BY round(score, 9) DESC, url LIMIT 10 OFFSET 10")
+def search_page2(spark, folder):
+    """Q-2."""
+    return S.search(_scores(spark, folder), _ASKED, 2).select("url", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"WITH {_HITS}, first AS (SELECT * FROM hits ORDER BY round(score, 9) DESC, url LIMIT 10), shown AS (SELECT url, arg_max(coalesce(title, ''), (stored_at, fetched_at, fetch_id)) AS title, arg_max(coalesce(description, ''), (stored_at, fetched_at, fetch_id)) AS description FROM crawl WHERE url IS NOT NULL GROUP BY 1) SELECT url, round(score, 6) AS score, coalesce(nullif(title, ''), url) AS title, coalesce(nullif(regexp_replace(description, '^[^\\]]*\\]', ''), ''), 'No description available') AS description FROM first LEFT JOIN shown USING (url)"
+)
+def search_hydrated(spark, folder):
+    """Q-3: hits with title and description."""
+    crawl = read(spark, folder, "crawl").where("url is not null").select("url", "title", "description", "stored_at", "fetched_at", "fetch_id")
+    shown = latest_rows(crawl, ["url"], ["stored_at", "fetched_at", "fetch_id"])
+    return S.hydrate(S.search(_scores(spark, folder), _ASKED, 1), shown).select("url", F.round("score", 6).alias("score"), "title", "description")
+
+
+@query("SELECT DISTINCT word FROM combinedscores WHERE lower(word) LIKE 'ha%' ORDER BY word LIMIT 10")
+def autocomplete(spark, folder):
+    """Q-5."""
+    return complete(read(spark, folder, "combinedscores"), "Ha")
+
+
+@query()
+def suggestions(spark, folder):
+    """Q-4, S-3: the likest known words of misspelt ones."""
+    return suggest(read(spark, folder, "combinedscores"), ["harbor", "lantren", "glacer"])
+
+
+@query()
+def jaro_winkler(spark, folder):
+    """S-2: likeness of all known words to one."""
+    words = read(spark, folder, "combinedscores").where("word is not null").select("word").distinct()
+    return words.select("word", F.round(jaro_winkler_column("word", F.lit("harbour")), 9).alias("likeness"))
+
+
+@query("SELECT fetch_id, count(*) AS n FROM (SELECT put_id AS fetch_id, unnest(string_split(value, ';')) AS part FROM combinedscores WHERE value IS NOT NULL) WHERE contains(part, ',') AND isfinite(TRY_CAST(trim(regexp_extract(part, ',([^,]*)$', 1, 's')) AS DOUBLE)) AND trim(regexp_extract(part, '^(.*),[^,]*$', 1, 's')) <> '' GROUP BY 1")
+def posting_counts(spark, folder):
+    """Postings with a finite score of each stored row."""
+    return unpack(read(spark, folder, "combinedscores").select(F.col("put_id").alias("fetch_id"), "value")).groupBy("fetch_id").agg(F.count("*").alias("n"))
