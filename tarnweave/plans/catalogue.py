@@ -113,11 +113,16 @@ def save_pairs(spark, folder):
     return _pairs(read(spark, folder, "nation"), "n_regionkey", "n_name").df.groupBy("key").agg(values[0].alias("first_name"), F.size(values).cast("bigint").alias("n_values"))
 
 
-@query("SELECT DISTINCT url, regexp_replace(url, '[^A-Za-z0-9-]', '', 'g') AS plain FROM crawl WHERE url IS NOT NULL")
+_ENCODED = "url"
+for _c in "_:/.?=&,%+~#@!;":
+    _ENCODED = f"replace({_ENCODED}, '{_c}', '_{ord(_c):x}')"
+
+
+@query(f"SELECT DISTINCT url, {_ENCODED} AS name FROM crawl WHERE url IS NOT NULL")
 def encoded_keys(spark, folder):
-    """IO-26: encoded file names of keys; taking the escapes out again leaves the plain letters."""
+    """IO-26: keys as file names."""
     urls = read(spark, folder, "crawl").where("url is not null").select("url").distinct()
-    return urls.select("url", F.regexp_replace(encode_key_column("url"), "_[0-9a-f]{2,4}", "").alias("plain")).where(F.col("plain").isNotNull())
+    return urls.select("url", encode_key_column("url").alias("name"))
 
 
 # Flows
@@ -409,10 +414,10 @@ def _pagerank_sql(rounds: int) -> str:
     edges AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM hashed), r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM nodes), {", ".join(steps)}"""
 
 
-@query(f"WITH {_pagerank_sql(5)} SELECT id, round(rank, 6) AS rank FROM r5")
+@query(f"WITH {_pagerank_sql(5)} SELECT id, round(rank + 1e-9, 6) AS rank FROM r5")
 def pagerank_fixed_k(spark, folder):
     """J-2: five rounds over the crawl's links."""
-    return R.pagerank(*R.link_graph(_current(spark, folder)), rounds=5).select("id", F.round("rank", 6).alias("rank"))
+    return R.pagerank(*R.link_graph(_current(spark, folder)), rounds=5).select("id", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
 _MOST = 40
@@ -420,10 +425,10 @@ _MOVES = " UNION ALL ".join(f"SELECT {k} AS k, max(abs(a.rank - b.rank)) AS move
 _ALL = " UNION ALL ".join(f"SELECT {k} AS k, id, rank FROM r{k}" for k in range(1, _MOST + 1))
 
 
-@query(f"WITH {_pagerank_sql(_MOST)}, moves AS ({_MOVES}), states AS ({_ALL}) SELECT id, round(rank, 6) AS rank FROM states WHERE k = (SELECT min(k) FROM moves WHERE moved < 0.01)")
+@query(f"WITH {_pagerank_sql(_MOST)}, moves AS ({_MOVES}), states AS ({_ALL}) SELECT id, round(rank + 1e-9, 6) AS rank FROM states WHERE k = (SELECT min(k) FROM moves WHERE moved < 0.01)")
 def pagerank_converged(spark, folder):
     """J-2: until no rank moves by 0.01."""
-    return R.pagerank(*R.link_graph(_current(spark, folder)), threshold=0.01).select("id", F.round("rank", 6).alias("rank"))
+    return R.pagerank(*R.link_graph(_current(spark, folder)), threshold=0.01).select("id", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
 @query(
