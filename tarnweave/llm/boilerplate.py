@@ -50,6 +50,7 @@ _TAG = re.compile(r"<[^<>]{1,400}>|&(?:nbsp|#160);")
 _BULLET = re.compile(r"^[\s•·*\-–»›>|#=]+")
 _SEPARATORS = re.compile(r"\s*(?:\||·|•|/|>|»|›|→|\s-\s|\s{2,})\s*")
 _WORD = re.compile(r"[^\W\d_]+")
+_PATH = re.compile(r"\s[/>»›]\s")
 _COUNT = re.compile(r"\(\d+\)\s*$")
 _LETTERS = re.compile(r"[\W\d_]+")
 #: Words that make sentences; a bounded list for the sentence feature alone.
@@ -145,11 +146,14 @@ class Labeller:
         elif body is not text and body != text and n > 2:
             score += w["item"]
         if n <= 30:
-            if n <= 14 and all(x in MENU_WORDS for x in lower) and function < n and not any(c.isdigit() for c in body):
+            digits = any(c.isdigit() for c in body)
+            if n <= 14 and function < n and not digits and all(x in MENU_WORDS for x in lower):
                 score += w["menu"]
             elif not sentence:
                 parts = [p for p in _SEPARATORS.split(body) if p]
-                if len(parts) > 1 and all(x.lower() in MENU_WORDS for p in parts[:1] for x in _WORD.findall(p)) and re.search(r"\s[/>»›]\s", body):
+                if len(parts) > 2 and not digits and 2 * sum(x in MENU_WORDS for x in lower) >= n and all(len(p.split()) <= 3 for p in parts):
+                    score += w["menu"]
+                elif len(parts) > 1 and all(x.lower() in MENU_WORDS for x in _WORD.findall(parts[0])) and _PATH.search(body):
                     score += w["path"]
             if NOTICES.search(body):
                 score += w["notice"]
