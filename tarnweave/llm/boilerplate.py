@@ -40,6 +40,12 @@ NOTICES = re.compile(
     r"|scroll to continue|(?:story|article) continues|continues below|advertisement|^advert\b|^\W*(?:sponsored|promoted|anzeige|ad)\W*$|tap to (?:enlarge|zoom)|click to enlarge|find out more in our",
     re.I,
 )
+#: Each of those phrases holds one of these words, or ©; lines without are not searched.
+NOTICE_WORDS = frozenset(
+    "cookie cookies files privacy accept essential manage partners consent data clicking continuing staying using c copyright reserved reproduction permission terms registered company imprint top skip jump go reading powered made hosted designed"
+    " site sitemap advertise prices errors views sign enter subscribe inbox newsletter get download scan already log login account register limits join comments comment shares share likes like leave tell report save follow print send scroll"
+    " continues advertisement advert sponsored promoted anzeige ad tap click find view".split()
+)
 _NAME = r"[A-Z][\w'’.-]+"
 #: Who wrote it and when.
 BYLINE = re.compile(
@@ -50,6 +56,8 @@ _TAG = re.compile(r"<[^<>]{1,400}>|&(?:nbsp|#160);")
 _BULLET = re.compile(r"^[\s•·*\-–»›>|#=]+")
 _SEPARATORS = re.compile(r"\s*(?:\||·|•|/|>|»|›|→|\s-\s|\s{2,})\s*")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
+_SEPARATED = re.compile(r"[|·•/>»›→]|\s[-\s]")
 _PATH = re.compile(r"\s[/>»›]\s")
 _COUNT = re.compile(r"\(\d+\)\s*$")
 _LETTERS = re.compile(r"[\W\d_]+")
@@ -131,13 +139,13 @@ class Labeller:
                 return w["markup"], False, "", "", 0
         body = _BULLET.sub("", text)
         words = _WORD.findall(body)
-        score = w["line"]
-        lower = [x.lower() for x in words]
-        bare = _LETTERS.sub("", body.lower())
         if not words:
             return w["markup"], False, "", "", 0
+        lower = [x.lower() for x in words]
+        bare = "".join(lower)
+        score = w["line"]
         n, kind = len(words), 0
-        function = sum(x in FUNCTION_WORDS for x in lower)
+        function = sum(map(FUNCTION_WORDS.__contains__, lower))
         sentence = n >= 6 and body[-1] in ".!?”\"’" and function >= 2 and not body.isupper() and words[0][0].isupper() or n >= 14 and function * 5 >= n
         if sentence:
             score += w["sentence"]
@@ -146,16 +154,16 @@ class Labeller:
         elif body is not text and body != text and n > 2:
             score += w["item"]
         if n <= 30:
-            digits = any(c.isdigit() for c in body)
+            digits = len(body) > len(bare) and _DIGIT.search(body) is not None
             if n <= 14 and function < n and not digits and all(x in MENU_WORDS for x in lower):
                 score += w["menu"]
-            elif not sentence:
+            elif not sentence and _SEPARATED.search(body):
                 parts = [p for p in _SEPARATORS.split(body) if p]
                 if len(parts) > 2 and not digits and 2 * sum(x in MENU_WORDS for x in lower) >= n and all(len(p.split()) <= 3 for p in parts):
                     score += w["menu"]
                 elif len(parts) > 1 and all(x.lower() in MENU_WORDS for x in _WORD.findall(parts[0])) and _PATH.search(body):
                     score += w["path"]
-            if NOTICES.search(body):
+            if not (NOTICE_WORDS.isdisjoint(lower) and "©" not in body) and NOTICES.search(body):
                 score += w["notice"]
                 kind = 1
             if OPENINGS.match(body):
