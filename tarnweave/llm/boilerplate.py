@@ -53,7 +53,7 @@ BYLINE = re.compile(
     re.I,
 )
 _TAG = re.compile(r"<[^<>]{1,400}>|&(?:nbsp|#160);")
-_BULLET = re.compile(r"^[\s•·*\-–»›>|#=]+")
+_BULLET = re.compile(r"^[\s•·*\-–»›>|#=←→↑↓«‹]+")
 _SEPARATORS = re.compile(r"\s*(?:\||·|•|/|>|»|›|→|\s-\s|\s{2,})\s*")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
