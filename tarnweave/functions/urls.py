@@ -139,6 +139,14 @@ def robots_decision(robots: str | None, path: str | None, agent: str, now_ms: in
     return ALLOWED
 
 
+def longest_match(robots: str | None, path: str | None, agent: str) -> tuple[bool, float]:
+    """The other policy: whether the longest matching rule allows a path (Allow wins ties), and the delay, 1.0 by default."""
+    blocks = parse_robots(robots)
+    block = blocks.get(agent.lower()) or blocks.get("*") or {"rules": [], "delay": None}
+    fitting = [(len(prefix), allow) for allow, prefix in block["rules"] if (path or "/").startswith(prefix)]
+    return (max(fitting)[1] if fitting else True), 1.0 if block["delay"] is None else block["delay"]
+
+
 def robots_decisions(agent: str):
     """A vectorised function of columns robots, path, now and last (milliseconds)."""
 

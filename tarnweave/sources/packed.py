@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Decimal numbers, with or without exponent; names of infinities and type letters are none.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def unpack(rows: DataFrame, value: str = "value") -> DataFrame:
@@ -18,7 +19,7 @@ def unpack(rows: DataFrame, value: str = "value") -> DataFrame:
     parts = rows.select(*rest, F.explode(F.split(value, ";")).alias("_part")).where(F.col("_part").contains(","))
     number = F.trim(F.substring_index("_part", ",", -1))
     url = F.trim(F.expr("substring(_part, 1, length(_part) - length(substring_index(_part, ',', -1)) - 1)"))
-    found = parts.select(*rest, url.alias("url"), F.when(number.rlike(_NUMBER), number.try_cast("double")).alias("score"))
+    found = parts.select(*rest, url.alias("url"), F.when(number.rlike(NUMBER), number.try_cast("double")).alias("score"))
     return found.where((F.abs("score") < float("inf")) & (F.col("url") != ""))
 
 

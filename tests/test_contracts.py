@@ -81,6 +81,27 @@ def test_robots():
     assert urls.robots_decision(None, None, "bot", 0, None) == urls.ALLOWED
 
 
+def test_longest_match():
+    body = "User-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow: /c\nAllow: /c\n"
+    assert urls.longest_match(body, "/a/b/c", "bot") == (True, 1.0)
+    assert urls.longest_match(body, "/a/x", "bot") == (False, 1.0)
+    assert urls.longest_match(body, "/c", "bot") == (True, 1.0)
+    assert urls.longest_match("", "/", "bot") == (True, 1.0)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tarnweave.__main__ import main
+
+    root = f"file://{tmp_path}/cli"
+    main(["--root", root, "put", "t", "k", "a", "1"], spark)
+    main(["--root", root, "get", "t", "k", "a"], spark)
+    main(["--root", root, "rename", "t", "u"], spark)
+    main(["--root", root, "scan", "u"], spark)
+    main(["--root", root, "delete", "u"], spark)
+    main(["--root", root, "tables"], spark)
+    assert capsys.readouterr().out.split("\n")[:2] == ["1", 'k {"a": "1"}']
+
+
 def test_blacklist(spark):
     df = spark.createDataFrame([("http://a.com/x",), ("http://b.com/x",)], "u string")
     assert [r[0] for r in df.where(urls.is_blacklisted("u", ["*a.com*"])).collect()] == ["http://a.com/x"]
