@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm.common import grouped_prefix_sum, table
+from tarnweave.llm.common import grouped_prefix_sum, table, with_small
 from tarnweave.llm.tokens import count_tokens
 from tarnweave.session import materialise
 
@@ -51,9 +51,8 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, id: str = "doc_id", seed:
     key = F.xxhash64(F.lit(seed), F.col(id).cast("string"))
     rows = sizes.select(id, source_name("source").alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
     rows = materialise(rows, "sizes")
-    plan = budgets(rows, targets, total)
-    # The targets are a table a person wrote; still only AQE decides, by its true size, whether it is broadcast.
-    targeted = rows.join(plan.select("source", "epochs", "rest", "max_repeats"), "source")
+    plan = materialise(budgets(rows, targets, total), "plan")
+    targeted = with_small(rows, plan.select("source", "epochs", "rest", "max_repeats"), ["source"], plan.count())
     ordered = grouped_prefix_sum(targeted.withColumn("_key", key), "source", ["_key", id], "n_tokens", "_before")
     fits = (F.col("_before") + F.col("n_tokens") <= F.col("rest")) & (F.col("epochs") < F.col("max_repeats"))
     uses = ordered.select(id, "source", "n_tokens", (F.col("epochs") + fits.cast("int")).alias("uses"))

@@ -9,27 +9,10 @@ from pyspark.sql import functions as F
 
 from tarnweave.llm.common import table, with_small
 from tarnweave.session import materialise
+from tarnweave.sources.packed import latest_scores as postings
 
 #: A pass counts rows above this many midpoints of each open group at once: as many as ten halvings.
 BUCKETS = 1024
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
-def postings(scores: DataFrame) -> DataFrame:
-    """word, url, score of packed `url,score;…` values: of each word and url the posting saved last, with a finite score.
-
-    The last comma of a posting stands before its score. Null words, null or empty values and postings whose score is
-    missing or not finite do not count. Of postings saved at the same time the larger put_id holds, and within one value
-    the higher score. Null saved_at and put_id lie before all others. Rows delivered twice change nothing.
-    """
-    part = F.explode(F.split("value", ";")).alias("part")
-    cut = scores.where("word is not null and value is not null").select("word", "saved_at", "put_id", part)
-    number = F.trim(F.substring_index("part", ",", -1))
-    url = F.expr("substring(part, 1, length(part) - length(substring_index(part, ',', -1)) - 1)")
-    rows = cut.where(F.col("part").contains(",")).select("word", F.trim(url).alias("url"), F.when(number.rlike(_NUMBER), number.try_cast("double")).alias("score"), "saved_at", "put_id")
-    rows = rows.where((F.abs("score") < float("inf")) & (F.col("url") != ""))
-    last = F.max(F.struct("saved_at", "put_id", "score")).alias("_last")
-    return rows.groupBy("word", "url").agg(last).select("word", "url", F.col("_last.score").alias("score"))
 
 
 def _level(level: Column, code: Column, score: Column, chars: Column) -> Column:
