@@ -9,6 +9,8 @@ from tarnweave.llm.common import behind_host, table, with_small
 from tarnweave.session import materialise
 
 TERM = "[a-z0-9]+"
+#: Scale of the length normalisation. Below 1, a term that stands once in a short record gains less against repeated ones.
+C = 0.5
 
 
 def terms(text: Column) -> Column:
@@ -16,7 +18,7 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def dfr_weight(tf: Column, length: Column, average: Column, frequency: Column, records: Column, c: float = 1.0) -> Column:
+def dfr_weight(tf: Column, length: Column, average: Column, frequency: Column, records: Column, c: float = C) -> Column:
     """Divergence from randomness: geometric model, Laplace after-effect, length-normalised term frequency.
 
     With tfn = tf * log2(1 + c * average / length) and mean = frequency / records, a term has
@@ -27,7 +29,7 @@ def dfr_weight(tf: Column, length: Column, average: Column, frequency: Column, r
     return (F.log2(1 + mean) + tfn * F.log2((1 + mean) / mean)) / (1 + tfn)
 
 
-def characteristic_terms(records: DataFrame, wanted: DataFrame, id: str, text: str, unit: str, least_units: int = 2, c: float = 1.0) -> DataFrame:  # noqa: A002
+def characteristic_terms(records: DataFrame, wanted: DataFrame, id: str, text: str, unit: str, least_units: int = 2, c: float = C) -> DataFrame:  # noqa: A002
     """id, term, tf, weight of every term of the wanted records that at least two units hold, against all records.
 
     records: id, text, unit; `unit` is what a term must be found with twice (the url). wanted: ids. Frequencies, lengths and
@@ -69,14 +71,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.join(asked, "fetch_id").where(F.col("place") <= F.col("n_terms")).select("fetch_id", "term")
 
 
-_WEIGHTS_SQL = r"""
+_WEIGHTS_SQL = rf"""
   records AS (SELECT fetch_id, url, string_agg(t, ' ') AS text FROM (SELECT DISTINCT fetch_id, url, page AS t FROM crawl UNION ALL SELECT DISTINCT fetch_id, url, regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '') FROM crawl) GROUP BY ALL),
   termed AS (SELECT fetch_id, url, regexp_extract_all(lower(text), '[a-z0-9]+') AS terms FROM records),
   found AS (SELECT fetch_id, url, len(terms) AS length, unnest(terms) AS term FROM termed),
   counted AS (SELECT term, count(*) AS frequency FROM found GROUP BY term HAVING count(DISTINCT url) >= 2),
   sizes AS (SELECT count(*) AS records, avg(len(terms)) AS average FROM termed WHERE len(terms) > 0),
   tf AS (SELECT fetch_id, term, length, count(*) AS tf FROM found WHERE fetch_id IN (SELECT fetch_id FROM probe_pages) GROUP BY ALL),
-  normed AS (SELECT fetch_id, term, tf, tf * log2(1 + average / length) AS tfn, frequency / records AS mean FROM tf JOIN counted USING (term), sizes),
+  normed AS (SELECT fetch_id, term, tf, tf * log2(1 + {C} * average / length) AS tfn, frequency / records AS mean FROM tf JOIN counted USING (term), sizes),
   weighed AS (SELECT fetch_id, term, tf, (log2(1 + mean) + tfn * log2((1 + mean) / mean)) / (1 + tfn) AS weight FROM normed)"""
 SQL = {
     "p1_found": f"WITH {_WEIGHTS_SQL}, ranked AS (SELECT fetch_id, term, row_number() OVER (PARTITION BY fetch_id ORDER BY round(weight, 9) DESC, term) AS place FROM weighed) SELECT fetch_id, term FROM ranked JOIN (SELECT fetch_id, max(n_terms) AS n_terms FROM probe_pages GROUP BY fetch_id) USING (fetch_id) WHERE place <= n_terms",

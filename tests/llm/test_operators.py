@@ -80,7 +80,7 @@ def brute_weights(rows, wanted):
     for i in wanted:
         for w, tf in bags.get(i, {}).items():
             if len(units[w]) > 1:
-                tfn, mean = tf * math.log2(1 + average / sum(bags[i].values())), total[w] / n
+                tfn, mean = tf * math.log2(1 + distinctive.C * average / sum(bags[i].values())), total[w] / n
                 out[i, w] = (math.log2(1 + mean) + tfn * math.log2((1 + mean) / mean)) / (1 + tfn)
     return out
 
