@@ -2,30 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.functions.hashing import hash_key
-from tarnweave.llm.common import grouped_prefix_sum, table
-from tarnweave.llm.topn import _POSTINGS_SQL, postings, top_n_per_group
+from tarnweave.llm.common import table, with_small
+from tarnweave.llm.topn import _POSTINGS_SQL, top_n_per_group
 from tarnweave.session import materialise
+from tarnweave.sources.packed import NUMBER
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For one partition sorted by group and value: how many rows of the group lie below each row's value and how many
+    have it, within the partition, and whether the run of equal rows touches an end of the group's rows here."""
+    whole = pa.Table.from_batches(list(batches))
+    n = whole.num_rows
+    if not n:
+        return
+    table_ = whole.combine_chunks()
+    group = table_.column("_g").chunk(0)
+    value = table_.column("_v").to_numpy()
+    codes = group.dictionary_encode()
+    code = codes.indices.to_numpy(zero_copy_only=False) if not codes.null_count else np.where(codes.indices.is_null().to_numpy(zero_copy_only=False), -1, codes.indices.fill_null(-1).to_numpy(zero_copy_only=False))
+    new_group = np.concatenate([[True], code[1:] != code[:-1]])
+    new_run = new_group | np.concatenate([[True], value[1:] != value[:-1]])
+    at = np.arange(n)
+    group_start = np.maximum.accumulate(np.where(new_group, at, 0))
+    run_of = np.cumsum(new_run) - 1
+    run_starts = np.flatnonzero(new_run)
+    run_ends = np.concatenate([run_starts[1:], [n]])
+    group_ends = np.concatenate([np.flatnonzero(new_group)[1:], [n]])[np.cumsum(new_group) - 1]
+    below = run_starts[run_of] - group_start
+    equal = (run_ends - run_starts)[run_of]
+    edge = (below == 0) | (run_ends[run_of] == group_ends)
+    out = table_.append_column("_below", pa.array(below.astype(np.int64))).append_column("_equal", pa.array(equal.astype(np.int64))).append_column("_edge", pa.array(edge))
+    yield from out.to_batches(max_chunksize=20_000)
 
 
 def rank_transform(df: DataFrame, group: str, value: str, into: str) -> DataFrame:
-    """Add the mid-rank of `value` within its group, scaled to (0, 1): (rows below + half of the equal ones) / rows.
+    """Replace `value` by its mid-rank within its group, scaled to (0, 1): (rows below + half of the equal ones) / rows.
 
-    Equal values are counted first, so only different values are range-partitioned and summed up; a group of any size,
-    or one value that many rows share, is spread over tasks. Null values get null. Neither group nor value may be NaN.
+    Rows are range-partitioned by group, value and a hash, so that neither a large group nor a value that many rows share
+    stays in one task, and numbered where they lie. What lies before a partition's part of a group is added from the
+    sizes of the parts; runs of equal rows over several partitions, of which there are fewer than partitions, are put
+    together from their parts. One shuffle of the rows. Values must not be null or NaN; null groups form one group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_equal"))
-    below = grouped_prefix_sum(counts, group, [value], "_equal", "_below")
-    sizes = counts.groupBy(group).agg(F.sum("_equal").alias("_size"))
-    ranks = below.join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")))
-    ranks = ranks.select(F.col(group).alias("_g"), F.col(value).alias("_v"), ((F.col("_below") + F.col("_equal") / 2) / F.col("_size")).alias(into))
-    return df.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & (F.col(value) == F.col("_v")), "left").drop("_g", "_v")
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in df.columns if c not in (group, value)]
+    rows = df.select(F.col(group).alias("_g"), (F.col(value).cast("double") + 0.0).alias("_v"), *rest).withColumn("_h", F.hash(*rest) if rest else F.lit(0))
+    ranged = rows.repartitionByRange(n, F.col("_g"), F.col("_v"), F.col("_h")).drop("_h").withColumn("_range", F.spark_partition_id()).sortWithinPartitions("_g", "_v")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
+    placed = materialise(ranged.mapInArrow(_positions, f"{schema}, _below bigint, _equal bigint, _edge boolean"), "placed")
+    key = F.struct(F.col("_g").alias("v")).alias("k")
+    parts = placed.groupBy(key, "_range").agg(F.count("*").alias("rows"))
+    before = F.aggregate(F.filter("all", lambda x: x["_range"] < F.col("part._range")), F.lit(0).cast("bigint"), lambda a, x: a + x["rows"])
+    # A group has at most one part for each partition.
+    gathered = parts.groupBy("k").agg(F.collect_list(F.struct("_range", "rows")).alias("all"), F.sum("rows").alias("size"))
+    offsets = materialise(gathered.select("k", "size", "all", F.explode("all").alias("part")).select("k", F.col("part._range").alias("_range"), before.alias("before"), "size"), "offsets")
+    edges = placed.where("_edge").groupBy(key, "_v", "_range").agg(F.first("_below").alias("below"), F.count("*").alias("rows"))
+    edges = edges.join(offsets.select("k", "_range", "before"), ["k", "_range"])
+    spans = edges.groupBy("k", "_v").agg(F.count("*").alias("parts"), F.min(F.col("before") + F.col("below")).alias("all_below"), F.sum("rows").alias("all_equal")).where("parts > 1").drop("parts")
+    spans = materialise(spans, "spans")
+    joined = with_small(placed.withColumn("k", key), offsets, ["k", "_range"], offsets.count(), 100)
+    joined = with_small(joined, spans, ["k", "_v"], spans.count(), 100, "left")
+    rank = (F.coalesce("all_below", F.col("before") + F.col("_below")) + F.coalesce("all_equal", "_equal") / 2) / F.col("size")
+    return joined.select(F.col("_g").alias(group), rank.alias(into), *rest)
 
 
 def principal_loadings(df: DataFrame, columns: Mapping[str, int]) -> dict[str, float]:
@@ -37,12 +83,13 @@ def principal_loadings(df: DataFrame, columns: Mapping[str, int]) -> dict[str, f
     its size and takes the declared sign. Of equal components the even one is taken.
     """
     names = list(columns)
-    row = df.agg(*(F.corr(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j), F.count("*").alias("n")).first()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    row = df.agg(*(F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
     matrix = np.eye(len(names))
     for i in range(len(names)):
         for j in range(i + 1, len(names)):
-            c = row[f"c{i}_{j}"]
-            matrix[i, j] = matrix[j, i] = 0.0 if c is None or np.isnan(c) else c
+            spread = (row[f"c{i}_{i}"] or 0.0) * (row[f"c{j}_{j}"] or 0.0)
+            matrix[i, j] = matrix[j, i] = (row[f"c{i}_{j}"] or 0.0) / np.sqrt(spread) if spread > 0 else 0.0
     values, vectors = np.linalg.eigh(matrix)
     even = np.ones(len(names)) / np.sqrt(len(names))
     top = vectors[:, values >= values[-1] - 1e-12]
@@ -57,39 +104,69 @@ def combined_ranking(df: DataFrame, group: str, id: str, columns: Mapping[str, i
     columns: name of a score -> 1 if more is better, -1 if less is. Each is replaced by its mid-rank within the group,
     the loadings of the first principal component of those ranks over all rows weigh them, and the projection orders.
     Rows without a finite value in each score, or without id, are left out; a repeated (group, id) should be merged
-    before. Ties come in the order of the id. Columns: group, id, projection. Null groups form one group.
+    before. Ties are equal projections. Columns: group, id, projection. Null groups form one group. The id travels with
+    the rows: a short one keeps shuffles small.
     """
     finite = F.col(id).isNotNull()
     for name in columns:
         finite &= F.coalesce(F.abs(F.col(name).cast("double")) < float("inf"), F.lit(False))
-    rows = df.where(finite).select(group, id, *(F.col(name).cast("double").alias(f"v{i}") for i, name in enumerate(columns)))
-    rows = materialise(rows, "scores")
-    for i in range(len(columns)):
-        rows = rank_transform(rows, group, f"v{i}", f"r{i}").drop(f"v{i}")
-    rows = materialise(rows, "ranks")
-    loadings = principal_loadings(rows, {f"r{i}": way for i, way in enumerate(columns.values())})
+    rows = df.where(finite).select(F.col(group).alias("g"), F.col(id).alias("i"), *(F.col(name).cast("double").alias(f"v{k}") for k, name in enumerate(columns)))
+    for k in range(len(columns)):
+        rows = rank_transform(rows, "g", f"v{k}", f"r{k}")
+    rows = materialise(rows, "ranks") if len(columns) > 1 else rows
+    loadings = principal_loadings(rows, {f"r{k}": way for k, way in enumerate(columns.values())})
     projection = sum((F.col(c) - 0.5) * w for c, w in loadings.items())
     # Rounded, so that items of equal say tie whatever the order of a sum.
-    return rows.select(group, id, (F.round(projection, 9) + 0.0).alias("projection"))
+    return rows.select(F.col("g").alias(group), F.col("i").alias(id), (F.round(projection, 9) + 0.0).alias("projection"))
+
+
+def _located(scores: DataFrame) -> DataFrame:
+    """Postings with a finite score and where they stand: word, url, score, saved_at, at (put_id and place in the value)."""
+    places = F.posexplode(F.split("value", ";")).alias("place", "part")
+    cut = scores.where("word is not null and value is not null").select("word", "saved_at", "put_id", places).where(F.col("part").contains(","))
+    number = F.trim(F.substring_index("part", ",", -1))
+    url = F.trim(F.expr("substring(part, 1, length(part) - length(substring_index(part, ',', -1)) - 1)"))
+    rows = cut.select("word", url.alias("url"), F.when(number.rlike(NUMBER), number.try_cast("double")).alias("score"), "saved_at", F.struct("put_id", "place").alias("at"))
+    return rows.where((F.abs("score") < float("inf")) & (F.col("url") != ""))
+
+
+def _key_hashes(key) -> list:
+    return [F.xxhash64(key).alias("k1"), F.hash(key).alias("k2")]
 
 
 def rated_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """word, url, score, rank of each page found for a word that has a rank; of a key's ranks the latest holds."""
-    latest = table(spark, folder, "pageranks").where("key is not null").groupBy("key").agg(F.max_by("rank", F.struct("saved_at", "rank")).alias("rank"))
-    found = postings(table(spark, folder, "combinedscores")).withColumn("key", hash_key("url"))
-    return found.join(latest.where(F.abs("rank") < float("inf")), "key").select("word", "url", "score", "rank")
+    """word, at, score, rank of each page found for a word that has a rank; of a key's ranks the latest holds.
+
+    `at` tells the posting that holds for word and url: the last saved, then of the larger put_id, then of the higher
+    score. Urls and keys are compared by 160 bits of hashes and do not travel.
+    """
+    ranks = table(spark, folder, "pageranks").where("key is not null").groupBy("key").agg(F.max_by("rank", F.struct("saved_at", "rank")).alias("rank"))
+    ranks = ranks.where(F.abs("rank") < float("inf")).select(*_key_hashes("key"), "rank")
+    found = _located(table(spark, folder, "combinedscores")).select("word", "score", "saved_at", "at", F.xxhash64("url").alias("u"), hash_key("url").alias("key"))
+    found = found.select("word", "score", "saved_at", "at", "u", *_key_hashes("key"))
+    last = F.max(F.struct("saved_at", F.col("at.put_id").alias("put_id"), "score", "at")).alias("l")
+    held = found.groupBy("word", "u", "k1", "k2").agg(last).select("word", "k1", "k2", F.col("l.score").alias("score"), F.col("l.at").alias("at"))
+    return held.join(ranks, ["k1", "k2"]).select("word", "at", "score", "rank")
+
+
+def _with_urls(spark: SparkSession, folder: str, ranked: DataFrame) -> DataFrame:
+    """word, url, projection for word, at, projection. A row that was delivered twice is one place."""
+    places = _located(table(spark, folder, "combinedscores")).select("word", "at", "url")
+    return ranked.join(places, ["word", "at"]).select("word", "url", "projection").distinct()
 
 
 def p2_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """The combined score of every page of every word; the highest come first."""
-    return combined_ranking(rated_pages(spark, folder), "word", "url", {"score": 1, "rank": 1})
+    ranked = combined_ranking(rated_pages(spark, folder), "word", "at", {"score": 1, "rank": 1})
+    return _with_urls(spark, folder, ranked)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The n_best first pages of each judged word, of the ranking of all words."""
     judged = table(spark, folder, "judged_words").where("word is not null").groupBy("word").agg(F.max("n_best").alias("n_best"))
-    ranked = p2_ranking(spark, folder).join(judged, "word")
-    return top_n_per_group(ranked, "word", "projection", "url", "n_best", unique=True).select("word", "url")
+    ranked = combined_ranking(rated_pages(spark, folder), "word", "at", {"score": 1, "rank": 1})
+    asked = _with_urls(spark, folder, ranked.join(judged.select("word"), "word", "left_semi")).join(judged, "word")
+    return top_n_per_group(asked, "word", "projection", "url", "n_best", unique=True).select("word", "url")
 
 
 _RANKED_SQL = rf"""
