@@ -117,10 +117,11 @@ class Labeller:
     SIZE = 200_000
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[float, bool, str, str, int]] = {}
+        self.known: dict[str, tuple[float, bool, str, str, int, bool]] = {}
 
-    def line(self, raw: str) -> tuple[float, bool, str, str, int]:
-        """Score, whether it is a sentence, its letters, its first word, and 1 for a lone interruption, 2 for a head of a list."""
+    def line(self, raw: str) -> tuple[float, bool, str, str, int, bool]:
+        """Score, whether it is a sentence, its letters, its first word, 1 for a lone interruption and 2 for a head of a list,
+        and whether at least a quarter of its words are function words."""
         got = self.known.get(raw)
         if got is None:
             got = self._line(raw)
@@ -130,17 +131,17 @@ class Labeller:
                 self.known[raw] = got
         return got
 
-    def _line(self, raw: str) -> tuple[float, bool, str, str, int]:
+    def _line(self, raw: str) -> tuple[float, bool, str, str, int, bool]:
         w = WEIGHTS
         text = raw.strip()
         if "<" in text or "&" in text:
             text = " ".join(_TAG.sub(" ", text).split())
             if not text:
-                return w["markup"], False, "", "", 0
+                return w["markup"], False, "", "", 0, False
         body = _BULLET.sub("", text)
         words = _WORD.findall(body)
         if not words:
-            return w["markup"], False, "", "", 0
+            return w["markup"], False, "", "", 0, False
         lower = [x.lower() for x in words]
         bare = "".join(lower)
         score = w["line"]
@@ -177,10 +178,10 @@ class Labeller:
                 kind = 1
             if _COUNT.search(body):
                 score += w["count"]
-        return score, sentence, bare, lower[0], kind
+        return score, sentence, bare, lower[0], kind, n >= 5 and function >= 2 and function * 4 >= n
 
-    def page(self, page: str, shares: Sequence[float], title: str | None, url: str | None) -> tuple[list[int], list[bool]]:
-        """Numbers of the page's non-blank lines, from 1, and whether each is boilerplate; a single line is body."""
+    def page(self, page: str, shares: Sequence[float], title: str | None, url: str | None) -> tuple[list[int], list[bool], list[bool]]:
+        """Numbers of the page's non-blank lines, from 1, whether each is boilerplate, and dense in function words. A single line is body."""
         lines = page.split("\n")
         address = (url or "").lower().split("://", 1)[-1]
         own = _LETTERS.sub("", address.partition("/")[2])
@@ -193,13 +194,14 @@ class Labeller:
         far: list[float] = []
         shapes: list[bool] = []
         starts: list[bool] = []
+        dense: list[bool] = []
         blank, block, listed, before = True, 0, False, 0
         first_own, last_own = len(lines), -1
         for i, raw in enumerate(lines):
             if not raw or raw.isspace():
                 blank = True
                 continue
-            score, sentence, bare, first, kind = self.line(raw)
+            score, sentence, bare, first, kind, full = self.line(raw)
             if first in names and len(bare) < 120 and (bare == first or not sentence and len(raw) < 100 or kind):
                 score += w["site"]
                 kind = 1
@@ -225,9 +227,10 @@ class Labeller:
             scores.append(score)
             shapes.append(sentence)
             starts.append(blank)
+            dense.append(full)
             blank, before = False, kind
         if len(numbers) < 2:
-            return numbers, [False] * len(numbers)
+            return numbers, [False] * len(numbers), dense
         for k, n in enumerate(numbers):
             share = shares[n - 1] if n <= len(shares) else 0.0
             # A short line that the site repeats inside the article (a facts box, a subheading of every report) is its own.
@@ -237,7 +240,7 @@ class Labeller:
             if inside and not shapes[k]:
                 alone = starts[k] and (k + 1 == len(numbers) or starts[k + 1] or shapes[k + 1])
                 scores[k] += w["inside"] + w["alone"] * alone
-        return numbers, minimum_cut(scores, near, far)
+        return numbers, minimum_cut(scores, near, far), dense
 
 
 _labeller: list[Labeller] = []
@@ -261,17 +264,17 @@ def label_lines(pages: DataFrame, id: str = "fetch_id", page: str = "page", url:
     Repeated rows give repeated results. Other columns are left out.
     """
 
-    def parts(texts: list[str], cuts: list[tuple[list[int], list[bool]]]) -> dict[str, pa.Array]:
+    def parts(texts: list[str], cuts: list[tuple[list[int], list[bool], list[bool]]]) -> dict[str, pa.Array]:
         kind = pa.list_(pa.int32())
-        body = [[n for n, c in zip(*x, strict=True) if not c] for x in cuts]
-        frame = [[n for n, c in zip(*x, strict=True) if c] for x in cuts]
+        body = [[n for n, c, _ in zip(*x, strict=True) if not c] for x in cuts]
+        frame = [[n for n, c, _ in zip(*x, strict=True) if c] for x in cuts]
         return {"body": pa.array(body, kind), "frame": pa.array(frame, kind)}
 
     return over_pages(pages, parts, "body array<int>, frame array<int>", id, page, url, title)
 
 
 def over_pages(pages: DataFrame, make: Callable[[list[str], list], dict[str, pa.Array]], schema: str, id: str, page: str, url: str, title: str) -> DataFrame:  # noqa: A002
-    """id and the columns that `make(texts, cuts)` gives for batches of pages with their lines' numbers and sides."""
+    """id and the columns that `make(texts, cuts)` gives for batches of pages with what `Labeller.page` says of each."""
     rows = pages.select(F.col(id).alias("_id"), F.col(page).alias("page"), F.col(url).alias("url"), F.col(title).alias("title"), host_of(url).alias("host"))
     shared = with_shares(rows, "host", "url", "page").where(F.col("page").isNotNull()).select("_id", "page", "url", "title", "_shares")
 
