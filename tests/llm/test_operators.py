@@ -325,11 +325,12 @@ def test_repeated_lines(spark):
         page = f"Title {k}\nAll rights!\n  ALL  rights 2024\nok\n\n" + ("seldom line\n" if k < 4 else "") + f"own words of {'abcdefghijkl'[k]}{k}"
         rows.append((k, f"https://www.A.test:443/{k}", page, T0, "x"))
     rows += [(20, "https://a.test:80/20", None, T0, "x"), (21, "https://a.test:80/0", rows[0][2], T0, "x"), (22, None, "all rights", T0, "x"), (23, "https://b.test/1", "all rights", T0, "x"), (24, "https://b.test/2", "", T0, "x"), (5, *rows[5][1:])]
-    df = spark.createDataFrame(rows, "fetch_id int, url string, page string, fetched_at timestamp_ntz, lines string").drop("lines").withColumn("host", host_of("url"))
+    df = spark.createDataFrame(rows, "fetch_id int, url string, page string, fetched_at timestamp_ntz, lines string").withColumn("g", F.lit(1)).withColumn("host", host_of("url"))
     found = sitelines.with_repeated(df, "host", "url", "page")
     got = {(r["fetch_id"], n) for r in found.collect() for n in r["_numbers"]}
     # "title", "allrights" and "ok" (too short) stand everywhere, "seldom line" on four urls and the copy of one.
     assert got == {(k, n) for k in [*range(12), 21] for n in (1, 2, 3)} | {(k, 6) for k in (0, 1, 2, 3, 21)}
+    assert found.columns == [*df.columns, "_numbers"]
     assert sitelines.with_repeated(df.where("false"), "host", "url", "page").count() == 0
 
 
