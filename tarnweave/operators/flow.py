@@ -155,7 +155,8 @@ class Flow(_Base):
             result = f(result, row[0])
         return result
 
-    def sum(self) -> Column:
+    def sum(self) -> DataFrame:
+        """One row with the sum of the values that are numbers."""
         return self.df.agg(F.sum(F.col("value").try_cast("double")).alias("value"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions.similarity import harmonic_mean
 from tarnweave.functions.text import index_tokens, term_tokens
+from tarnweave.session import materialise
 from tarnweave.sources.tables import latest_rows
 
 
@@ -47,8 +48,10 @@ def tf_idf(pages: DataFrame, text: str = "page") -> DataFrame:
     without a page, and n the pages of the word in the index. Only words that both tokenisers know remain.
     """
     total = pages.agg(F.count("*")).first()[0]
-    frequency = document_frequency(postings(pages, text))
-    counts = indexable(pages).select("key", F.explode(term_tokens(text)).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    # Cleaning a page is dearer than storing its text, and two branches read it.
+    rows = materialise(indexable(pages).select("key", "url", F.col(text).alias("page")), "texts")
+    frequency = document_frequency(postings(rows))
+    counts = rows.select("key", F.explode(term_tokens("page")).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
     # The words of one page: bounded by its length.
     most = Window.partitionBy("key")
     tf = counts.select("word", "key", (0.4 + 0.6 * F.col("n") / F.max("n").over(most)).alias("tf"))

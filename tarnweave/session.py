@@ -33,10 +33,13 @@ def get_session(app: str = "tarnweave", master: str | None = None, **conf: str)
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, a laptop) a local folder is set.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset, on a single machine (tests, a laptop), a local
+    folder is set; a cluster without it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"tarnweave-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
