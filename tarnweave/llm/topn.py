@@ -15,11 +15,6 @@ from tarnweave.sources.packed import latest_scores as postings
 BUCKETS = 1024
 
 
-def _level(level: Column, code: Column, score: Column, chars: Column) -> Column:
-    """The number that is cut in this pass: the log code of the score, then the score, then letters of the id."""
-    return F.when(level == 0, code).when(level == 1, score).otherwise(chars)
-
-
 def _letters(id_: Column, skip: Column) -> Column:
     """Six bytes of the id behind `skip` ones as a number that keeps their order; the end of the id comes first."""
     raw = F.encode(id_, "UTF-8")
@@ -66,35 +61,46 @@ def top_n_per_group(df: DataFrame, group: str, score: str, id: str, n: int | str
     small = with_small(base, state.where("need > 0"), on, groups)
     taken = [small.where("count <= need").select(*on, "i", "s")]
     open_ = small.where("count > need").select(*on, "i", "s", "c", F.lit(0).alias("level"), F.lit(0).alias("skip"), "lo", "hi", "need")
-    level, skip, lo, hi = (F.col(k) for k in ("level", "skip", "lo", "hi"))
+    level, lo, hi = (F.col(k) for k in ("level", "lo", "hi"))
+    deep = False  # whether an open group is cut by its ids
     while True:
-        at = _level(level, F.col("c"), F.col("s"), _letters(F.col("i"), skip))
+        at = F.when(level == 0, F.col("c")).otherwise(F.col("s"))
+        if deep:
+            at = F.when(level == 2, _letters(F.col("i"), F.col("skip"))).otherwise(at)
         # Halves, so that the width of an interval can't overflow; every step keeps the order of the rows.
         share = (hi * 0.5 - F.col("at") * 0.5) / (hi * 0.5 - lo * 0.5)
         part = F.when(hi == lo, 0).when(hi * 0.5 == lo * 0.5, F.when(F.col("at") == hi, 0).otherwise(BUCKETS - 1)).otherwise(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)))
         cut = open_.withColumn("at", at).withColumn("part", part.cast("int"))
-        counted = cut.groupBy(*on, "part").agg(F.count("*").alias("rows"), F.min("at").alias("low"), F.max("at").alias("high"), F.min("s").alias("smin"), F.max("s").alias("smax"), F.min("i").alias("imin"), F.max("i").alias("imax"), F.first("level").alias("was"), F.first("skip").alias("behind"), F.first("need").alias("wanted"))
+        counted = cut.groupBy(*on, "part").agg(F.count("*").alias("rows"), F.min("at").alias("low"), F.max("at").alias("high"), F.min("s").alias("smin"), F.max("s").alias("smax"), F.max("level").alias("was"), F.max("need").alias("wanted"))
         upto = Window.partitionBy(*on).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
         found = counted.withColumn("sum", F.sum("rows").over(upto)).where((F.col("sum") >= F.col("wanted")) & (F.col("sum") - F.col("rows") < F.col("wanted")))
         # The part with the n-th row: its rows are all taken, or it is cut again, by the next level once its numbers are equal.
         same, was = F.col("low") == F.col("high"), F.col("was")
-        next_level = F.when(~same, was).when((was == 0) & (F.col("smin") < F.col("smax")), 1).otherwise(2)
-        shared = _common(F.col("imin"), F.col("imax"))
-        decided = found.select(*on, F.col("part").alias("edge"), (F.col("sum") == F.col("wanted")).alias("whole"), (F.col("wanted") - F.col("sum") + F.col("rows")).alias("left"), next_level.alias("then"), F.when(next_level == 2, shared).otherwise(0).alias("then_skip"), "low", "high", "smin", "smax", "imin", "imax")
-        new = F.col("then")
-        first, last = _letters(F.col("imin"), F.col("then_skip")), _letters(F.col("imax"), F.col("then_skip"))
-        decided = decided.withColumn("new_lo", F.when(new == 2, last).when(new == 1, F.col("smin")).otherwise(F.col("low"))).withColumn("new_hi", F.when(new == 2, first).when(new == 1, F.col("smax")).otherwise(F.col("high")))
-        decided = materialise(decided.drop("low", "high", "smin", "smax", "imin", "imax"), "cutoffs")
-        groups = decided.count()
-        if not groups:
+        then = F.when(~same, was).when((was == 0) & (F.col("smin") < F.col("smax")), 1).otherwise(2)
+        fresh = same & (then == 2)
+        whole = F.col("sum") == F.col("wanted")
+        decided = found.select(*on, F.col("part").alias("edge"), whole.alias("whole"), (F.col("wanted") - F.col("sum") + F.col("rows")).alias("left"), then.alias("then"), fresh.alias("fresh"), F.when(then == 1, F.col("smin")).otherwise(F.col("low")).alias("new_lo"), F.when(then == 1, F.col("smax")).otherwise(F.col("high")).alias("new_hi"))
+        decided = materialise(decided, "cutoffs")
+        going = ~F.col("whole")
+        seen = decided.agg(F.count("*").alias("groups"), F.max(going).alias("more"), F.max(going & (F.col("then") == 2)).alias("deep"), F.max(going & F.col("fresh")).alias("fresh")).first()
+        if not seen["groups"]:
             break
-        step = with_small(cut, decided, on, groups).where(F.col("part") <= F.col("edge"))
-        step = step.select(*on, "i", "s", "c", ((F.col("part") < F.col("edge")) | F.col("whole")).alias("in"), F.col("then").alias("level"), F.col("then_skip").alias("skip"), F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), F.col("left").alias("need"))
+        step = with_small(cut, decided, on, seen["groups"]).where(F.col("part") <= F.col("edge"))
+        step = step.select(*on, "i", "s", "c", ((F.col("part") < F.col("edge")) | F.col("whole")).alias("in"), F.col("then").alias("level"), "skip", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), F.col("left").alias("need"), "fresh")
         step = materialise(step, "cut")
         taken.append(step.where("in").select(*on, "i", "s"))
-        open_ = step.where("not in").drop("in")
-        if open_.isEmpty():
+        if not seen["more"]:
             break
+        open_, deep = step.where("not in").drop("in"), seen["deep"]
+        if seen["fresh"]:
+            # Rows of equal numbers so far: cut by the ids from where their least and greatest differ.
+            ends = open_.where("fresh").groupBy(*on).agg(F.min("i").alias("imin"), F.max("i").alias("imax"))
+            ends = ends.select(*on, "imin", "imax", _common(F.col("imin"), F.col("imax")).alias("new_skip"))
+            ends = materialise(ends.select(*on, "new_skip", _letters(F.col("imax"), F.col("new_skip")).alias("id_lo"), _letters(F.col("imin"), F.col("new_skip")).alias("id_hi")), "ends")
+            joined = with_small(open_, ends, on, ends.count(), how="left")
+            open_ = joined.select(*on, "i", "s", "c", "level", F.coalesce("new_skip", "skip").alias("skip"), F.coalesce("id_lo", "lo").alias("lo"), F.coalesce("id_hi", "hi").alias("hi"), "need")
+        else:
+            open_ = open_.drop("fresh")
     best = reduce(DataFrame.unionAll, taken)
     return best.select(F.col("g.v").alias(group), F.col("i").alias(id), F.col("s").alias(score))
 
