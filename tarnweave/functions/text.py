@@ -32,11 +32,11 @@ def visible_text(html: Column | str, strict: bool = True) -> Column:
 
 def page_text(html: Column | str, stop_words: Iterable[str] = STOP_WORDS, strict: bool = True) -> Column:
     """The text the index is built from: visible text without layout and stop words, in lower case with single blanks."""
-    text = F.regexp_replace(visible_text(html, strict), LAYOUT_WORDS, " ")
-    words = sorted({w for w in stop_words if w.isascii() and w.isalnum()})
-    if words:
-        text = F.regexp_replace(text, rf"(?i)\b({'|'.join(words)})\b", " ")
-    return F.trim(F.lower(F.regexp_replace(text, r"\s+", " ")))
+    text = F.lower(F.regexp_replace(visible_text(html, strict), LAYOUT_WORDS, " "))
+    dropped = sorted({w.lower() for w in stop_words if w.isascii() and w.isalnum()})
+    # Only letters, digits and white space are left, so whole words are what white space parts; a set is asked for each.
+    words = F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~w.isin(dropped) if dropped else w != "")
+    return F.array_join(words, " ")
 
 
 def page_title(html: Column | str) -> Column:

@@ -16,6 +16,7 @@ from tarnweave.plans import crawl as C
 from tarnweave.plans import index as I
 from tarnweave.plans import rank as R
 from tarnweave.plans import search as S
+from tarnweave.session import spread
 from tarnweave.sources.packed import latest_scores, unpack
 from tarnweave.sources.tables import latest_rows, page_of
 
@@ -276,7 +277,7 @@ def hash_url(spark, folder):
 @query(f"SELECT fetch_id, {_page_sql('page')} AS text FROM crawl WHERE page IS NOT NULL")
 def page_text(spark, folder):
     """T-1, T-6."""
-    return read(spark, folder, "crawl").where("page is not null").select("fetch_id", T.page_text("page").alias("text"))
+    return spread(read(spark, folder, "crawl").select("fetch_id", "page")).where("page is not null").select("fetch_id", T.page_text("page").alias("text"))
 
 
 @query("SELECT fetch_id, regexp_extract('<title>' || coalesce(title, '') || '</title>' || page, '(?s)<title>(.*?)</title>', 1) AS title FROM crawl WHERE page IS NOT NULL")

@@ -59,6 +59,12 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return back
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table whose few files would leave cores idle, over all cores; one of more partitions is left as it lies."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def release(df: DataFrame) -> None:
     """Delete what `materialise` wrote; `df` can't be read afterwards."""
     path = getattr(df, "_tarnweave_path", None)
