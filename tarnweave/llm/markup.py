@@ -143,6 +143,34 @@ LABELLED: list[tuple[str, tuple[str, ...]]] = [
     ("for $n^2$ steps", ("latex",)),
     ("A \\textbf{strong} and \\emph{new} effect, \\cite{lee1999}", ("latex",)),
 ]
+#: Short labelled pages: each line with its kinds, learned together with the lines before and after it.
+LABELLED_PAGES: list[list[tuple[str, tuple[str, ...]]]] = [
+    [("Home", ()), ("> World", ()), ("> Europe", ()), ("> North Sea", ()), ("A storm closed the harbours on Monday, and the ferries stayed in.", ())],
+    [("Start", ()), ("> News", ()), ("> Local News", ()), ("The mayor opened the new bridge over the river this week.", ())],
+    [("Shop", ()), ("> Garden", ()), ("> Tools", ()), ("", ()), ("All our tools come with a warranty of two years.", ())],
+    [("The committee met on Monday, and this is what it wrote:", ()), ("> It rained", ("markdown",)), ("", ()), ("Nobody had anything to add to that.", ())],
+    [("He was asked whether he would come again next year.", ()), ("> Yes.", ("markdown",)), ("The others laughed, because they had heard it before.", ())],
+    [("", ()), ("> They came home late, and nobody asked them why.", ("markdown",)), ("> It rained", ("markdown",)), ("", ())],
+    [("Where they had been, the two of them never told anyone.", ()), ("", ()), ("> North Sea", ("markdown",)), ("", ()), ("Years later a letter was found in the old house.", ())],
+    [("He wrote:", ()), ("> They came home late, and nobody asked them why.", ("markdown",)), ("", ())],
+    [("Letters", ()), ("> The committee agreed with the plan.", ("markdown",)), ("> It rained all day, so they stayed where they were.", ("markdown",)), ("Anna", ())],
+    [("All the news of the week in one list: https://news.example/lists/all-the-news-of-the-week-in-one-long-list", ()), ("> What the coast said", ()), ("Everything on the weather of the north: https://news.example/weather/everything-on-the-weather-of-the-north", ())],
+    [("The best stories of the last year by topic: https://news.example/years/the-best-stories-of-the-last-year", ()), ("> More of them, they said", ()), ("", ())],
+    [("The committee met on Monday, and this is what it wrote:", ()), ("> What the coast said", ("markdown",)), ("Everything else was left for the next meeting in the spring.", ())],
+    [("The cleaners had just left when we came into the hall.", ()), ("! Attention !! Wet floor", ()), ("We walked around it, because the sign was large enough.", ())],
+    [("Many people came to the market on the first day of spring.", ()), ("! Hurry !! Last day", ()), ("", ())],
+    [("{| class=\"wikitable\"", ("wiki",)), ("! year !! people", ("wiki",)), ("|-", ("wiki",)), ("| 1900 || 45", ("wiki",)), ("|-", ("wiki",)), ("| 1910 || 60", ("wiki",)), ("|}", ("wiki",))],
+    [("The town grew fast after the railway had come to the valley.", ()), ("{| class=\"wikitable\"", ("wiki",)), ("|-", ("wiki",)), ("! mayor !! from !! to", ("wiki",)), ("|}", ("wiki",)), ("Its oldest house stands near the western gate.", ())],
+    [("The fort was built on a hill over the river in 1450.", ()), ("== Later years ==", ("wiki",)), ("It was ''never'' taken, though many tried in those years.", ("wiki",)), ("The [[river]]s meet here, and the road crosses both of them.", ("wiki",))],
+    [("## Results and notes", ("markdown",)), ("The first test took longer than we had thought it would.", ()), ("It was **very important** to the people who ran it.", ("markdown",)), ("Read [the report](/files/report) first.", ("markdown",)), ("Run `make all` twice.", ("markdown",))],
+    [("We put the figures into a table for those who want them.", ()), ("| size | price |", ()), ("|---|:--|", ("markdown",)), ("| 4 | 12 |", ()), ("", ())],
+    [("We start it from the shell, as everybody does these days.", ()), ("```", ("markdown",)), ("make all", ()), ("```", ("markdown",)), ("After that it runs by itself until the evening comes.", ())],
+    [("<p>The old bridge was closed after the flood of last year.</p>", ("html",)), ("<p>It was <b>cold</b> that day, and few went out.</p>", ("html",)), ("</div>", ("html",))],
+    [("Few came to the hall, because the snow had closed the roads.", ()), ("Fish &amp; chips", ("html",)), ("Those who came were glad to have something warm to eat.", ())],
+    [("\\section{Methods and data}", ("latex",)), ("We asked the people of three towns about their weather.", ()), ("This was \\emph{not} seen before, as far as we know.", ("latex",)), ("where $x_{2} = \\frac{a^2}{4}$ holds", ("latex",)), ("All of them said that it had rained more in the past.", ())],
+    [("The cases are these, in the order in which they were found.", ()), ("\\begin{itemize}", ("latex",)), ("\\item the first case", ("latex",)), ("\\end{itemize}", ("latex",)), ("The sum of all that is what we call the total loss.", ()), ("$$\\sum_{i=1}^{n} x_i \\leq 9$$", ("latex",)), ("", ())],
+    [("News | Sport | Weather", ()), ("Home > World > Europe", ()), ("The R&D budget is $40 to $60 a day, said the mayor of the town.", ()), ("* Bring two eggs and a cup of milk", ()), ("* A star marks what nobody [sic] saw.", ()), ("If a < b and c > d, stop.", ())],
+]
 FEATURES = (*SIGNS, "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 
@@ -192,12 +220,28 @@ class Tree:
 _trees: dict[str, Tree] = {}
 
 
+def labelled() -> tuple[np.ndarray, list[tuple[str, ...]]]:
+    """Features and kinds of all labelled blocks: those of the table, which stand alone, and those of the labelled pages."""
+    rows, answers = [], []
+    for page in [[block] for block in LABELLED] + LABELLED_PAGES:
+        lines = [line for line, _ in page]
+        for i, (line, kinds) in enumerate(page):
+            rows.append(features(line, *neighbours(lines, i)))
+            answers.append(kinds)
+    return np.array(rows), answers
+
+
+def neighbours(lines: list[str], i: int) -> tuple[str, str]:
+    """The blocks before and after a block; an empty one at either end."""
+    return lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else ""
+
+
 def trees() -> dict[str, Tree]:
-    """One tree a kind, grown from the labelled table at first use."""
+    """One tree a kind, grown from the labelled table and pages at first use."""
     if not _trees:
-        x = np.array([features(b) for b, _ in LABELLED])
+        x, answers = labelled()
         for kind in KINDS:
-            _trees[kind] = Tree(x, np.array([kind in kinds for _, kinds in LABELLED]))
+            _trees[kind] = Tree(x, np.array([kind in kinds for kinds in answers]))
     return _trees
 
 
@@ -210,7 +254,7 @@ def kinds_of(page: str) -> set[str]:
     grown = trees()
     for i, line in enumerate(lines):
         if _ANY.search(line):
-            row = features(line.strip(), lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else "")
+            row = features(line.strip(), *neighbours(lines, i))
             found.update(kind for kind in KINDS if kind not in found and grown[kind].says(row))
             if len(found) == len(KINDS):
                 break
@@ -288,8 +332,8 @@ def clean(page: str, kinds: set[str]) -> str:
 def strip_markup(pages: DataFrame, id: str = "fetch_id", page: str = "page", text: bool = True) -> DataFrame:  # noqa: A002
     """id, kinds (array, in the order of KINDS) and, if asked, text: each page's markup and what remains without it.
 
-    Blocks are the page's lines; a tree for each kind of markup, trained on the labelled table, judges a block by its
-    signs, its words and link density and those of its neighbours. No shuffle; pages of any length. Null pages have no
+    Blocks are the page's lines; a tree for each kind of markup, trained on the labelled table and pages, judges a block by
+    its signs, its words and link density and those of its neighbours. No shuffle; pages of any length. Null pages have no
     kinds and a null text, empty ones an empty text; repeated rows give repeated results; other columns are left out.
     """
     schema = "_id " + dict(pages.select(F.col(id).alias("_id")).dtypes)["_id"] + ", kinds array<string>" + (", text string" if text else "")

@@ -262,6 +262,30 @@ def test_kinds(page, kinds):
     assert markup.kinds_of(page) == kinds
 
 
+@pytest.mark.parametrize("page", markup.LABELLED_PAGES)
+def test_trees_know_their_pages(page):
+    lines = [line for line, _ in page]
+    for i, (line, kinds) in enumerate(page):
+        row = markup.features(line, *markup.neighbours(lines, i))
+        assert {k for k in markup.KINDS if markup.trees()[k].says(row)} == set(kinds)
+
+
+@pytest.mark.parametrize(
+    ("page", "kinds"),
+    [
+        ("They wrote a letter to the paper about the noise.\n> Old Town\nIt was never printed, as far as we know.", {"markdown"}),
+        ("Home\n> Old Town\n> Castle", set()),
+        ("She said:\n> We never saw the castle, nor the old town.", {"markdown"}),
+        ("They wrote a letter to the paper about the noise.\n> What the town said\nIt was never printed, as far as we know.", {"markdown"}),
+        ("See all letters to the paper: https://paper.example/letters/all-letters-to-the-paper-of-this-year\n> What the town said\nSee all: https://paper.example/towns/all-towns-of-the-north", set()),
+        ("{|\n! street !! houses\n|-", {"wiki"}),
+        ("The shop in the old street was full of people.\n! Sale !! Half price\nWe left without buying any of it, of course.", set()),
+    ],
+)
+def test_neighbours_decide(page, kinds):
+    assert markup.kinds_of(page) == kinds
+
+
 def test_clean_text():
     kinds = set(markup.KINDS)
     assert markup.clean("<h2>Top</h2><ul><li>a &amp; b</li></ul><p>c<br>d</p>", {"html"}) == "# Top\n\n- a & b\n\nc\nd"
