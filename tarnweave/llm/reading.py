@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.llm.common import table
+from tarnweave.session import materialise
 
-#: The commonest words whose frequency the rarity feature knows; rarer ones count as the rarest of them.
+#: So many of the commonest words are broadcast with their counts; those of rarer ones are joined.
 VOCABULARY = 20_000
 #: Graded documents that the regression is fitted on at most: those with the smallest hash of their id.
 MOST_GRADED = 5_000
@@ -109,8 +110,8 @@ class OrdinalRegression:
         return self.grades[np.searchsorted(self.cuts, score)]
 
 
-def vocabulary(docs: DataFrame, text: str, size: int = VOCABULARY) -> list[tuple[str, int]]:
-    """The commonest words of all documents with their counts, from counts that each batch sums up first."""
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """word and n, its number in all documents, for every word, from counts that each batch sums up first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -123,23 +124,46 @@ def vocabulary(docs: DataFrame, text: str, size: int = VOCABULARY) -> list[tuple
                 seen = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [(r["word"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect()]
+    return docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _measured(docs: DataFrame, id: str, text: str, known, make, schema: str) -> DataFrame:  # noqa: A002
+def measured(docs: DataFrame, id: str, text: str) -> DataFrame:  # noqa: A002
+    """_id and x, the features of each document's text; null for texts without level.
+
+    The bits of the VOCABULARY commonest words are broadcast and summed on the spot. All others are counted within their
+    document, joined with the table of all counts, and their bits summed by document, so each word has its own.
+    """
+    spark = docs.sparkSession
+    counts = materialise(word_counts(docs, text), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    common = [(r["word"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()]
+    known = spark.sparkContext.broadcast({w: -math.log2(n / total) for w, n in common})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, rarest = known.value
+        bits = known.value
         for batch in batches:
-            rows = []
+            rows, others, lengths = [], [], []
             for t in batch.column("_text").to_pylist():
                 words = words_of(t) if t else []
                 fit = len(words) >= LEAST_WORDS and is_english(words)
-                rows.append(text_features(t, words, bits, rarest) if fit else None)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *make(rows).values()], ["_id", *make([])])
+                rows.append(text_features(t, words, bits, 0.0) if fit else None)
+                others.append(list(Counter(w for w in words if w not in bits).items()) if fit else [])
+                lengths.append(len(words))
+            columns = [batch.column("_id"), pa.array(rows, pa.list_(pa.float64())), pa.array(others, pa.map_(pa.string(), pa.int32())), pa.array(lengths, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "x", "_others", "_words"])
 
     kind = dict(docs.select(F.col(id).alias("_id")).dtypes)["_id"]
-    return docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, {schema}")
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, x array<double>, _others map<string, int>, _words int")
+    if len(common) < VOCABULARY:
+        return materialise(rows.select("_id", "x"), "measured")
+    # Documents may come twice, so rows are told apart by a number that the written table keeps.
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "measured")
+    pairs = rows.select("_row", F.explode("_others").alias("word", "k")).join(counts, "word")
+    added = pairs.groupBy("_row").agg(F.sum(-F.col("k") * F.log2(F.col("n") / F.lit(float(total)))).alias("_bits"))
+    at = FEATURES.index("rarity")
+    more = F.coalesce("_bits", F.lit(0.0)) / F.col("_words") / 2
+    x = F.transform("x", lambda v, k: F.when(k == at, v + more).otherwise(v))
+    return materialise(rows.join(added, "_row", "left").select("_id", x.alias("x")), "measured")
 
 
 def reading_levels(docs: DataFrame, graded: DataFrame, id: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:  # noqa: A002
@@ -148,39 +172,35 @@ def reading_levels(docs: DataFrame, graded: DataFrame, id: str = "doc_id", text:
     A proportional-odds regression with a squared penalty is fitted on the graded documents' features: length of words,
     share of long ones, sentence length, lexical diversity of pieces of 50 words, mean rarity of the words in the whole
     collection, connectives and subordinating words a sentence. Each document then gets its score and the grade whose
-    bounds hold it. Word counts cover all documents; the table of the commonest, the model, and at most MOST_GRADED
-    graded rows reach the driver. Texts that are not English, whatever is said of them, or of fewer than 40 words, null
-    or empty texts have no level. Repeated rows give repeated results. Without two grades among usable texts none has one.
+    bounds hold it. Word counts cover all words of all documents; the table of the commonest, the model, and at most
+    MOST_GRADED graded rows reach the driver. Texts that are not English, whatever is said of them, or of fewer than 40
+    words, null or empty texts have no level. Repeated rows give repeated results. Without two grades among usable texts
+    none has one.
     """
     spark = docs.sparkSession
-    common = vocabulary(docs, text)
-    total = sum(n for _, n in common) or 1
-    bits = {w: -math.log2(n / total) for w, n in common}
-    known = spark.sparkContext.broadcast((bits, max(bits.values(), default=1.0)))
-
-    def plain(rows: list) -> dict[str, pa.Array]:
-        return {"x": pa.array(rows, pa.list_(pa.float64()))}
-
+    features = measured(docs, id, text)
     labels = graded.where(F.col(id).isNotNull() & F.col(grade).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(grade).alias("_grade"))
     labels = labels.orderBy(F.xxhash64("_id"), "_id").limit(MOST_GRADED)
-    taught = docs.join(labels, F.col(id) == F.col("_id")).select(F.struct(F.col(id).alias("id"), F.col("_grade").alias("grade")).alias("key"), F.col(text).alias("text"))
-    rows = [r for r in _measured(taught, "key", "text", known, plain, "x array<double>").collect() if r["x"]]
-    grades = {r["_id"]["grade"] for r in rows}
-    model = OrdinalRegression(np.array([r["x"] for r in rows]), np.array([r["_id"]["grade"] for r in rows])) if len(grades) > 1 else None
+    rows = features.join(labels, "_id").where("x is not null").select("x", "_grade").collect()
+    grades = {r["_grade"] for r in rows}
+    model = OrdinalRegression(np.array([r["x"] for r in rows]), np.array([r["_grade"] for r in rows])) if len(grades) > 1 else None
     shared = spark.sparkContext.broadcast(model)
 
-    def judged(rows: list) -> dict[str, pa.Array]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        at = [k for k, r in enumerate(rows) if r is not None and m is not None]
-        score: list[float | None] = [None] * len(rows)
-        level: list[int | None] = [None] * len(rows)
-        if at:
-            got = m.score(np.array([rows[k] for k in at]))
-            for k, s, g in zip(at, got.tolist(), m.grade(got).tolist(), strict=True):
-                score[k], level[k] = s, int(g)
-        return {"level": pa.array(level, pa.int32()), "score": pa.array(score, pa.float64())}
-
-    return _measured(docs, id, text, known, judged, "level int, score double").withColumnRenamed("_id", id)
+        for batch in batches:
+            found = batch.column("x").to_pylist()
+            at = [k for k, r in enumerate(found) if r is not None and m is not None]
+            score: list[float | None] = [None] * len(found)
+            level: list[int | None] = [None] * len(found)
+            if at:
+                got = m.score(np.array([found[k] for k in at]))
+                for k, s, g in zip(at, got.tolist(), m.grade(got).tolist(), strict=True):
+                    score[k], level[k] = s, int(g)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(level, pa.int32()), pa.array(score, pa.float64())], ["_id", "level", "score"])
+
+    kind = dict(features.dtypes)["_id"]
+    return features.mapInArrow(judged, f"_id {kind}, level int, score double").withColumnRenamed("_id", id)
 
 
 def p10_levels(spark: SparkSession, folder: str) -> DataFrame:

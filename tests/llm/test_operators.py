@@ -500,3 +500,30 @@ def test_reading_rows(spark):
     assert got[1] == 1 and got[2] == 4 and all(got[k] is None for k in (3, 4, 5, 6))
     assert all(r["level"] is None for r in reading.reading_levels(df, graded.where("grade = 1")).collect())
     assert reading.reading_levels(df.where("false"), graded).count() == 0
+
+
+def test_words_beyond_the_commonest_have_their_own_rarity(spark, monkeypatch):
+    def name(k):
+        return "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+
+    def page(words):
+        return " ".join(f"the {w} of" for w in words) + "."
+
+    # The filler's 21,000 words fill the broadcast table; the other two texts differ in how often their rarer words occur.
+    filler = " ".join(name(k) for k in range(21_000)) + " "
+    once, twice = [f"q{name(k)}" for k in range(40)], [f"z{name(k)}" for k in range(40)]
+    rows = [(1, filler * 3), (2, page(once)), (3, page(twice)), (4, " ".join(twice)), (3, page(twice))]
+    easy, hard = page(["dog"] * 40), page(name(k) for k in range(40))
+    rows += [(5, easy), (6, hard)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    graded = spark.createDataFrame([(5, 1), (6, 4)], "doc_id int, grade int")
+    many = sorted((r["doc_id"], r["score"]) for r in reading.reading_levels(df, graded).collect() if r["score"] is not None)
+    scores = dict(many)
+    assert len(many) == 5 and scores[2] > scores[3] + 1e-3
+    counts = Counter(w for _, t in rows for w in reading.words_of(t))
+    for size in (5, 20_000, 100_000):
+        monkeypatch.setattr(reading, "VOCABULARY", size)
+        for r in reading.measured(df, "doc_id", "text").where("x is not null").collect():
+            words = reading.words_of(dict(rows)[r["_id"]])
+            want = sum(-math.log2(counts[w] / sum(counts.values())) for w in words) / len(words) / 2
+            assert r["x"][reading.FEATURES.index("rarity")] == pytest.approx(want)
