@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.llm.boilerplate import FUNCTION_WORDS, over_pages
 from tarnweave.llm.common import table
+from tarnweave.llm.reading import ENGLISH, OTHERS
 from tarnweave.session import materialise
 
 #: Texts are compressed in blocks of at most so many characters.
@@ -32,6 +35,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _FAR_LETTER = re.compile(r"[^\W\d_\x00-\u024f]")
 
 
+#: Function words by language; of as many of two, the earlier one is meant.
+LANGUAGES = {"en": FUNCTION_WORDS | ENGLISH, **OTHERS}
+_MARKS = {w: tuple(name for name, words in LANGUAGES.items() if w in words) for w in frozenset().union(*LANGUAGES.values())}
+
+
 def units(text: str) -> Iterator[str]:
     """Lines and sentences; runs of over 40 words without an end in pieces of 25."""
     for unit in _UNIT.split(text):
@@ -43,58 +51,100 @@ def units(text: str) -> Iterator[str]:
             yield unit
 
 
-def split_prose(text: str) -> tuple[str, str]:
+def split_prose(text: str, lang: str = "en") -> tuple[str, str]:
     """What reads as sentences, by its share of function words, and the rest.
 
-    The list of function words is English. Units of other scripts or languages are sentences if they end like one.
+    Function words are those of English and of the page's language. Units in another of the known languages, with at
+    least two of its words, and units of other scripts or languages are sentences if they end like one.
     """
+    own = LANGUAGES.get(lang, FUNCTION_WORDS)
     prose, other = [], []
     for unit in units(text):
         words = _WORD.findall(unit.lower())
         n = sum(map(FUNCTION_WORDS.__contains__, words))
-        if len(words) >= 5 and (n >= 2 and n * 6 >= len(words) or n == 0 and _foreign(unit) and _END.search(unit)):
+        full = n >= 2 and n * 6 >= len(words)
+        if not full and lang != "en":
+            k = sum(map(own.__contains__, words))
+            full = k >= 2 and k * 6 >= len(words)
+        if len(words) >= 5 and (full or _END.search(unit) and (n == 0 and _foreign(unit) or _other_sentence(words, n))):
             prose.append(unit)
         else:
             other.append(unit)
     return "\n".join(prose), "\n".join(other)
 
 
+def _other_sentence(words: list[str], english: int) -> bool:
+    """Whether one of the other languages has two different function words here, every sixth word, and more than English."""
+    marks = [w for w in words if w in _MARKS]
+    return len(marks) > max(1, english) and any(k > english and k * 6 >= len(words) and len({w for w in marks if w in LANGUAGES[name]}) > 1 for name, k in _shares(marks).items() if name != "en")
+
+
 def _foreign(unit: str) -> bool:
     return any(ord(c) > 0xBF and c.isalpha() for c in unit)
 
 
-def blocks(text: str) -> list[dict[str, int]]:
-    """Of each block its bytes (n), those after compression (z), its words (w) and the different ones (d)."""
-    out = []
+def blocks(text: str, lang: str) -> list[dict[str, int | str]]:
+    """Of each block its bytes (n), those after compression (z), its words (w), the different ones (d) and its language (l).
+
+    lang is the page's: that of blocks that hold too few function words to tell, or as many of this language as of others.
+    """
+    out: list[dict[str, int | str]] = []
     for k in range(0, len(text), BLOCK):
         part = text[k : k + BLOCK]
         raw = part.encode("utf-8", "surrogatepass")
         words = _WORD.findall(part.lower())
-        out.append({"n": len(raw), "z": len(zlib.compress(raw, 6)), "w": len(words), "d": len(set(words))})
+        out.append({"n": len(raw), "z": len(zlib.compress(raw, 6)), "w": len(words), "d": len(set(words)), "l": language(part, words, lang)})
     return out
 
 
-def language_class(text: str) -> str:
-    """latin, or other where most letters are not: compression differs by bytes a letter."""
-    if text.isascii():
-        return "latin"
-    return "other" if 2 * len(_FAR_LETTER.findall(text)) > len(_LETTER.findall(text)) else "latin"
+def _shares(words: list[str]) -> Counter[str]:
+    """How many of the words are function words of each language."""
+    counts: Counter[str] = Counter()
+    for w, n in Counter(filter(_MARKS.__contains__, words)).items():
+        for name in _MARKS[w]:
+            counts[name] += n
+    return counts
+
+
+def language(text: str, words: list[str], page: str = "") -> str:
+    """Language of a text by its function words, or the script of most of its letters where that is not Latin.
+
+    Latin texts of too few function words are of the page's language, if that is a Latin one. Else those with letters
+    beyond ASCII are "latin+", others "latin", which stands for all languages of that script. Bytes after compression
+    and different words depend on all of this.
+    """
+    if not text.isascii():
+        far = Counter(_FAR_LETTER.findall(text))
+        if 2 * far.total() > len(_LETTER.findall(text)):
+            scripts: Counter[str] = Counter()
+            for c, n in far.items():
+                scripts[unicodedata.name(c, "other").split()[0].lower()] += n
+            return "script " + max(sorted(scripts), key=scripts.__getitem__)
+    counts = _shares(words)
+    most = max(counts.values(), default=0)
+    if most >= 2 and most * 12 >= len(words):
+        best = [name for name in LANGUAGES if counts[name] == most]
+        return page if page in best else best[0]
+    if page and not page.startswith("script "):
+        return page
+    return "latin+" if _foreign(text) else "latin"
 
 
 def stuffed_pages(pages: DataFrame, id: str = "fetch_id", page: str = "page", url: str = "url", title: str = "title", redundant: float = REDUNDANT) -> DataFrame:  # noqa: A002
     """id, prose and rest (characters), ratio (redundancy of the rest against sentences), ends (per 100 words), stuffed.
 
     Of each page's main body, as the minimum cut finds it, sentences are parted from the rest. Both are compressed in
-    blocks. The median ratio of the sentences' blocks of all pages, by length (quarters of a power of two) and language
-    class, is what a block may be expected to have, and so is the median share of different words: tables of one form
-    compress well but name different things. A page is stuffed if most of its body is no sentences, those parts have
+    blocks. The median ratio of the sentences' blocks of all pages, by length (quarters of a power of two) and language of
+    the block, is what a block may be expected to have, and so is the median share of different words: tables of one form
+    compress well but name different things. Where a Latin language has no sentences of a length, those of all Latin ones
+    stand in. A page is stuffed if most of its body is no sentences, those parts have
     less than `redundant` of the expectation, by the mean of both measures or extremely by compression alone, and sentence ends are rare in them.
 
     Null and blank pages are left out. Repeated rows give repeated results.
     """
 
     def measured(texts: list[str], cuts: list[tuple[list[int], list[bool], list[bool]]]) -> dict[str, pa.Array]:
-        made: dict[str, list] = {"prose": [], "rest": [], "lang": [], "ends": [], "of_prose": [], "of_rest": []}
+        made: dict[str, list] = {"prose": [], "rest": [], "ends": [], "of_prose": [], "of_rest": []}
         for text, (numbers, cut, dense) in zip(texts, cuts, strict=True):
             lines = text.split("\n")
             whole, parts = [], []
@@ -102,28 +152,34 @@ def stuffed_pages(pages: DataFrame, id: str = "fetch_id", page: str = "page", ur
                 if not frame:
                     (whole if full else parts).append(lines[n - 1].strip())
             # A line with a quarter of function words is sentences as a whole; the others are looked at by sentence.
-            some, rest = split_prose("\n".join(parts))
+            body = "\n".join([*whole, *parts])
+            lang = language(body, _WORD.findall(body.lower()))
+            some, rest = split_prose("\n".join(parts), lang)
             prose = "\n".join([*whole, some] if some else whole)
             made["prose"].append(len(prose))
             made["rest"].append(len(rest))
-            made["lang"].append(language_class((prose or rest)[:2000]))
             made["ends"].append(100 * len(_END.findall(rest)) / max(1, len(_WORD.findall(rest))))
-            made["of_prose"].append(blocks(prose))
-            made["of_rest"].append(blocks(rest) if len(rest) > len(prose) else [])
-        block = pa.list_(pa.struct([(c, pa.int32()) for c in "nzwd"]))
-        kinds = {"prose": pa.int32(), "rest": pa.int32(), "lang": pa.string(), "ends": pa.float64(), "of_prose": block, "of_rest": block}
+            made["of_prose"].append(blocks(prose, lang))
+            made["of_rest"].append(blocks(rest, lang) if len(rest) > len(prose) else [])
+        block = pa.list_(pa.struct([*((c, pa.int32()) for c in "nzwd"), ("l", pa.string())]))
+        kinds = {"prose": pa.int32(), "rest": pa.int32(), "ends": pa.float64(), "of_prose": block, "of_rest": block}
         return {k: pa.array(v, kinds[k]) for k, v in made.items()}
 
-    block = "array<struct<n: int, z: int, w: int, d: int>>"
-    rows = materialise(over_pages(pages, measured, f"prose int, rest int, lang string, ends double, of_prose {block}, of_rest {block}", id, page, url, title).withColumnRenamed(id, "_id"), "measured")
+    block = "array<struct<n: int, z: int, w: int, d: int, l: string>>"
+    rows = materialise(over_pages(pages, measured, f"prose int, rest int, ends double, of_prose {block}, of_rest {block}", id, page, url, title).withColumnRenamed(id, "_id"), "measured")
     size = F.floor(F.log2("b.n") * 4).cast("int").alias("size")
-    usual = rows.select("lang", F.explode("of_prose").alias("b")).select("lang", size, (F.col("b.z") / F.col("b.n")).alias("q"), F.try_divide("b.d", "b.w").alias("r"))
-    # At most 45 sizes of two language classes.
-    usual = usual.groupBy("lang", "size").agg(F.percentile_approx("q", 0.5, 10000).alias("dense"), F.percentile_approx("r", 0.5, 10000).alias("different"))
-    asked = rows.where(F.col("rest") > F.col("prose")).select("_id", "prose", "rest", "ends", "lang", F.explode("of_rest").alias("b")).select("_id", "prose", "rest", "ends", "lang", "b", size)
-    found = asked.join(F.broadcast(usual), ["lang", "size"], "left")
+    # A block counts for its language and, where the script is Latin, for all languages of that script.
+    kinds = F.when(F.col("b.l").startswith("script "), F.array("b.l")).otherwise(F.array_distinct(F.array("b.l", F.lit("latin"))))
+    usual = rows.select(F.explode("of_prose").alias("b")).select(F.explode(kinds).alias("lang"), size, (F.col("b.z") / F.col("b.n")).alias("q"), F.try_divide("b.d", "b.w").alias("r"))
+    # At most 45 sizes of nine Latin classes and each script.
+    usual = materialise(usual.groupBy("lang", "size").agg(F.percentile_approx("q", 0.5, 10000).alias("dense"), F.percentile_approx("r", 0.5, 10000).alias("different")), "usual")
+    latin = usual.where("lang = 'latin'").select("size", F.col("dense").alias("dense_latin"), F.col("different").alias("different_latin"))
+    asked = rows.where(F.col("rest") > F.col("prose")).select("_id", "prose", "rest", "ends", F.explode("of_rest").alias("b")).select("_id", "prose", "rest", "ends", F.col("b.l").alias("lang"), "b", size)
+    found = asked.join(F.broadcast(usual), ["lang", "size"], "left").join(F.broadcast(latin), "size", "left")
+    of_latin = ~F.col("lang").startswith("script ")
     # A size that no sentences have counts as dense and as varied as long texts are.
-    dense, different = F.coalesce(F.col("dense"), F.lit(0.45)), F.coalesce(F.col("different"), F.lit(0.5))
+    dense = F.coalesce(F.col("dense"), F.when(of_latin, F.col("dense_latin")), F.lit(0.45))
+    different = F.coalesce(F.col("different"), F.when(of_latin, F.col("different_latin")), F.lit(0.5))
     of_bytes = F.sum("b.z") / F.sum(dense * F.col("b.n"))
     of_words = F.coalesce(F.try_divide(F.sum("b.d"), F.sum(different * F.col("b.w"))), F.lit(1.0))
     per_page = found.groupBy("_id", "prose", "rest", "ends").agg(((of_bytes + of_words) / 2).alias("ratio"), of_bytes.alias("bytes"))

@@ -394,6 +394,42 @@ def test_stuffed_pages(spark):
     assert stuffed.stuffed_pages(df.where("false")).count() == 0
 
 
+DUTCH = "De oude man liep met zijn hond door het bos, omdat de weg naar het dorp niet open was."
+ITALIAN = "Il vecchio era seduto con la sua barca al porto, perché non aveva una casa in paese."
+GERMAN = "Der alte Mann war nicht in dem Haus, weil die Kinder mit dem Hund auf dem Weg zu ihm waren."
+
+
+@pytest.mark.parametrize("sentence", [DUTCH, ITALIAN, GERMAN, PROSE.strip()])
+def test_sentences_of_other_languages(sentence):
+    keywords = "\n".join(["garage door Utrecht", "buy cheap lamps in Jizowick today"])
+    lines = sentence if sentence != PROSE.strip() else sentence.replace(". ", ".\n")
+    words = stuffed._WORD.findall(sentence.lower())
+    assert stuffed.split_prose(sentence + "\n" + keywords, stuffed.language(sentence, words)) == (lines, keywords)
+    doors = "front door, van door, garage door Utrecht"
+    assert stuffed.split_prose(sentence + "\n" + doors, "en") == (lines, doors)
+
+
+def test_language_of_each_block():
+    russian = "Старый мост был закрыт после наводнения, и никто не знал почему. "
+    text = DUTCH.ljust(stuffed.BLOCK, " ") + (russian * 40)[: stuffed.BLOCK] + "lamp stoel tafel " * 20
+    assert [b["l"] for b in stuffed.blocks(text, "nl")] == ["nl", "script cyrillic", "nl"]
+    assert [b["l"] for b in stuffed.blocks("lamp stoel tafel " * 20, "")] == ["latin"]
+    assert [stuffed.language(x, stuffed._WORD.findall(x.lower())) for x in (PROSE, GERMAN, ITALIAN, "buy lamps in Rome, buy lamps in Oslo")] == ["en", "de", "it", "en"]
+
+
+def test_medians_by_language(spark):
+    # Italian sentences here say the same again and again, English ones don't: a list in Italian is held against its own.
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
+    english = [(k, "\n\n".join("It was the " + " and the ".join(rng.choices(words, k=12)) + "." for _ in range(60))) for k in range(30)]
+    italian = [(100 + k, "\n\n".join("Il " + " e la ".join(rng.choices(words[:6], k=12)) + "." for _ in range(60))) for k in range(8)]
+    listed = "\n".join("per " + " ".join(rng.choices(words[:60], k=8)) for _ in range(90))
+    pages = [*english, *italian, (200, "\n".join([listed, "e la per una"])), (201, "\n".join([listed.replace("per ", "for "), "and the for a"]))]
+    df = spark.createDataFrame([(k, f"https://h{k}.test/", None, t) for k, t in pages], "fetch_id int, url string, title string, page string")
+    ratio = {r["fetch_id"]: r["ratio"] for r in stuffed.stuffed_pages(df).where("fetch_id >= 200").collect()}
+    assert ratio[200] > 1.2 * ratio[201]
+
+
 # 8
 
 
