@@ -49,8 +49,38 @@ SIGNS = {
     "backslash": re.compile(r"\\"),
     "dollar": re.compile(r"\$"),
 }
+#: What every match of a sign holds, by name: none of SIGNS can be where its need is not.
+_NEEDS = {
+    "tag": r"<",
+    "comment": r"<",
+    "entity": r"&[#\w]+;",
+    "angle": r"[<>]",
+    "bold": r"\*",
+    "under": r"__",
+    "link": r"\[",
+    "hashes": r"^\s*#",
+    "fence": r"`|~~",
+    "note": r"\[",
+    "rule": r"-{2,}:?\s*\|",
+    "strike": r"~~",
+    "tick": r"`",
+    "quote": r"[<>]",
+    "star": r"\*",
+    "apostrophes": r"''",
+    "wikilink": r"\[",
+    "template": r"\{\{",
+    "equals": r"^\s*==",
+    "wikitable": r"^\s*(?:\{\||\|\}|\|-)",
+    "double": r"\|\||!!",
+    "square": r"\[",
+    "command": r"\\",
+    "braces": r"\\",
+    "math": r"\$",
+    "backslash": r"\\",
+    "dollar": r"\$",
+}
 #: A block without any of these has no sign; it is cheap to see.
-_ANY = re.compile(r"[<\\`]|&[#\w]+;|\*\*|__|\]\(|\[\^|~~|''|\[\[|\{[{|]|\$\$|\$[a-zA-Z\\]|^\s*(?:={2,6}[^=]|#{1,6}\s|>\s|\|[-}|:\s]|!\s)|\|\||!!", re.M)
+_ANY = re.compile("|".join(dict.fromkeys(_NEEDS[name] for name in SIGNS)), re.M)
 _URL = re.compile(r"https?://\S+|href\s*=\s*\S+", re.I)
 _TEXT_LINK = re.compile(r"<a\b[^>]*>(.*?)</a>|\[[^\[\]]*\]\([^()]*\)|\[\[[^\[\]]+\]\]", re.I | re.S)
 

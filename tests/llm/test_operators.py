@@ -286,6 +286,20 @@ def test_neighbours_decide(page, kinds):
     assert markup.kinds_of(page) == kinds
 
 
+@pytest.mark.parametrize("sign", sorted(markup.SIGNS))
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_every_sign_passes_the_quick_test(sign, data):
+    block = data.draw(st.from_regex(markup.SIGNS[sign]))
+    page = data.draw(st.sampled_from(["", "x\n", "x\n   "])) + block
+    assert markup._ANY.search(block) and markup._ANY.search(page)
+
+
+@pytest.mark.parametrize(("page", "kinds"), [("size | price\n--- | ---\n4 | 12", {"markdown"}), ("for $(n+1)^2$ steps", {"latex"}), ("the norm $|x|_2$ of it", {"latex"})])
+def test_signs_that_the_quick_test_missed(page, kinds):
+    assert markup.kinds_of(page) == kinds
+
+
 def test_clean_text():
     kinds = set(markup.KINDS)
     assert markup.clean("<h2>Top</h2><ul><li>a &amp; b</li></ul><p>c<br>d</p>", {"html"}) == "# Top\n\n- a & b\n\nc\nd"
