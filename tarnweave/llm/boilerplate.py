@@ -40,12 +40,17 @@ NOTICES = re.compile(
     r"|scroll to continue|(?:story|article) continues|continues below|advertisement|^advert\b|^\W*(?:sponsored|promoted|anzeige|ad)\W*$|tap to (?:enlarge|zoom)|click to enlarge|find out more in our",
     re.I,
 )
-#: Each of those phrases holds one of these words, or ©; lines without are not searched.
-NOTICE_WORDS = frozenset(
-    "cookie cookies files privacy accept essential manage partners consent data clicking continuing staying using c copyright reserved reproduction permission terms registered company imprint top skip jump go reading powered made hosted designed"
-    " site sitemap advertise prices errors views sign enter subscribe inbox newsletter get download scan already log login account register limits join comments comment shares share likes like leave tell report save follow print send scroll"
-    " continues advertisement advert sponsored promoted anzeige ad tap click find view".split()
+#: Each of those phrases holds one of these strings within a word, or one of LONE_WORDS, or ©; lines without are not searched.
+NOTICE_STEMS = re.compile(
+    "|".join(
+        "cookie files privacy accept essential manage partners consent data clicking continuing staying using copyright reserved reproduction permission terms register company imprint top skip jump main content reading powered made hosted designed"
+        " site advertis advert sponsored promoted anzeige prices errors view sign enter subscribe inbox newsletter phone download scan already log account limits join comment share like leave friend report save follow print scroll"
+        " continues enlarge zoom find".split()
+    )
 )
+LONE_WORDS = frozenset({"c", "ad"})
+#: Letters that match others in any case but are not lowered to them.
+_ODD_CASE = re.compile("[ſıİ]")
 _NAME = r"[A-Z][\w'’.-]+"
 #: Who wrote it and when.
 BYLINE = re.compile(
@@ -118,6 +123,19 @@ class Labeller:
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[float, bool, str, str, int, bool]] = {}
+        self.stems: dict[str, bool] = {}
+
+    def may_notice(self, lower: list[str], body: str) -> bool:
+        """Whether a text of these words may hold one of NOTICES; words are looked at once."""
+        for w in lower:
+            got = self.stems.get(w)
+            if got is None:
+                if len(self.stems) >= self.SIZE:
+                    self.stems.clear()
+                got = self.stems[w] = w in LONE_WORDS or NOTICE_STEMS.search(w) is not None
+            if got:
+                return True
+        return "©" in body or not body.isascii() and _ODD_CASE.search(body) is not None
 
     def line(self, raw: str) -> tuple[float, bool, str, str, int, bool]:
         """Score, whether it is a sentence, its letters, its first word, 1 for a lone interruption and 2 for a head of a list,
@@ -164,7 +182,7 @@ class Labeller:
                     score += w["menu"]
                 elif len(parts) > 1 and all(x.lower() in MENU_WORDS for x in _WORD.findall(parts[0])) and _PATH.search(body):
                     score += w["path"]
-            if not (NOTICE_WORDS.isdisjoint(lower) and "©" not in body) and NOTICES.search(body):
+            if self.may_notice(lower, body) and NOTICES.search(body):
                 score += w["notice"]
                 kind = 1
             if OPENINGS.match(body):

@@ -238,6 +238,19 @@ def test_frame_of_a_page(spark):
     assert boilerplate.label_lines(df.where("false")).count() == 0
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.from_regex(boilerplate.NOTICES))
+def test_every_notice_is_searched(body):
+    assert boilerplate.Labeller().may_notice([w.lower() for w in boilerplate._WORD.findall(body)], body)
+
+
+@pytest.mark.parametrize("line", ["Our newsletters", "Newsletters", "Advertisements", "Imprints", "Copyright 2021 Example Post", "(c) 2020", "Ad"])
+def test_notices_within_longer_words(line):
+    plain = boilerplate.Labeller().line("Our lanterns")[0]
+    score, *_, kind, _ = boilerplate.Labeller().line(line)
+    assert kind == 1 and score >= plain + boilerplate.WEIGHTS["notice"]
+
+
 # 4
 
 
