@@ -173,7 +173,7 @@ def flat_map_to_pair(spark, folder):
     packed = Flow(docs.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "text")))
 
     def pairs(v):
-        words = F.filter(F.split(F.substring_index(F.regexp_replace(v, r"^[0-9]+\t", ""), "\x00", 1), " "), lambda w: w != "")
+        words = F.filter(F.split(F.regexp_replace(v, r"^[0-9]+\t", ""), " "), lambda w: w != "")
         return F.transform(words, lambda w: F.struct(w.alias("key"), F.substring_index(v, "\t", 1).alias("value")))
 
     return packed.flat_map_to_pair(pairs).df.groupBy("key").agg(F.count("*").alias("n"))

@@ -25,3 +25,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_words_behind_a_nul_are_counted(spark, tmp_path):
+    spark.createDataFrame([(1, "a b\x00c d"), (2, "d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["key"]: r["n"] for r in catalogue.flat_map_to_pair(spark, str(tmp_path)).collect()}
+    assert got == {"a": 1, "b\x00c": 1, "d": 2}
