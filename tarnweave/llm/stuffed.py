@@ -12,77 +12,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm.boilerplate import FUNCTION_WORDS, over_pages
+from tarnweave.llm.boilerplate import Cut, over_pages
 from tarnweave.llm.common import table
 from tarnweave.llm.reading import ENGLISH, OTHERS
-from tarnweave.session import materialise
+from tarnweave.session import materialise, spread
 
 #: Texts are compressed in blocks of at most so many characters.
-BLOCK = 2048
+BLOCK = 1024
 #: A body is redundant below this share of what sentences of like length and language have, of bytes after compression
-#: and of different words alike.
-REDUNDANT = 0.865
+#: and of different words, by the mean of both.
+REDUNDANT = 0.9
 #: So few bytes after compression alone are redundant too.
 EXTREME = 0.82
+#: Where the page has so many out-links in a hundred of its own words, this share is redundant already.
+MANY_LINKS, REDUNDANT_LINKS = 10.0, 0.95
 #: Sentences end less often than so many times in a hundred words where there are none.
 FEW_ENDS = 4.0
-#: Fewer characters outside sentences never make a case.
-LEAST = 150
+#: A unit of at least so many words that ends like a sentence is one; of scripts without blanks, of so many letters.
+SENTENCE_WORDS, SENTENCE_LETTERS = 4, 8
+#: Of lines that the cut of problem 3 drops, those of so many words are measured all the same, unless the site repeats them.
+OWN_WORDS = 12
 _WORD = re.compile(r"[^\W\d_]+")
-_UNIT = re.compile(r"\n+|(?<=[.!?”])\s+")
-_END = re.compile(r"(?<=[\w”)])[.?!](?![.?!\w])")
+_UNIT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[.!?][”\"’'»)])\s+|(?<=[。！？।؟])")
+_END = re.compile(r"(?<=[\w”\"’'»)\]])[.?!…。！？।؟](?![.?!\w])")
 _LETTER = re.compile(r"[^\W\d_]")
 _FAR_LETTER = re.compile(r"[^\W\d_\x00-\u024f]")
 
 
-#: Function words by language; of as many of two, the earlier one is meant.
-LANGUAGES = {"en": FUNCTION_WORDS | ENGLISH, **OTHERS}
+#: Function words by language; of as many of two, the earlier one is meant. They tell languages, not sentences.
+LANGUAGES = {"en": ENGLISH | frozenset("a in on no so its how than while why if between who".split()), **OTHERS}
 _MARKS = {w: tuple(name for name, words in LANGUAGES.items() if w in words) for w in frozenset().union(*LANGUAGES.values())}
 
 
 def units(text: str) -> Iterator[str]:
-    """Lines and sentences; runs of over 40 words without an end in pieces of 25."""
+    """Lines and sentences; runs of over 80 words without an end in pieces of 25."""
     for unit in _UNIT.split(text):
         words = unit.split()
-        if len(words) > 40:
+        if len(words) > 80:
             for k in range(0, len(words), 25):
                 yield " ".join(words[k : k + 25])
         elif words:
             yield unit
 
 
-def split_prose(text: str, lang: str = "en") -> tuple[str, str]:
-    """What reads as sentences, by its share of function words, and the rest.
-
-    Function words are those of English and of the page's language. Units in another of the known languages, with at
-    least two of its words, and units of other scripts or languages are sentences if they end like one.
-    """
-    own = LANGUAGES.get(lang, FUNCTION_WORDS)
+def split_prose(text: str) -> tuple[str, str]:
+    """What ends like sentences, and the rest. Signs that are repeated (!!!) end none; no words of any language are asked for."""
     prose, other = [], []
     for unit in units(text):
-        words = _WORD.findall(unit.lower())
-        n = sum(map(FUNCTION_WORDS.__contains__, words))
-        full = n >= 2 and n * 6 >= len(words)
-        if not full and lang != "en":
-            k = sum(map(own.__contains__, words))
-            full = k >= 2 and k * 6 >= len(words)
-        if len(words) >= 5 and (full or _END.search(unit) and (n == 0 and _foreign(unit) or _other_sentence(words, n))):
-            prose.append(unit)
-        else:
-            other.append(unit)
+        tail = unit.rstrip("”\"’'»)] \t\r")
+        long = len(_WORD.findall(unit)) >= SENTENCE_WORDS or not unit.isascii() and len(_FAR_LETTER.findall(unit)) >= SENTENCE_LETTERS
+        (prose if long and _END.search(tail, max(0, len(tail) - 1)) else other).append(unit)
     return "\n".join(prose), "\n".join(other)
 
 
-def _other_sentence(words: list[str], english: int) -> bool:
-    """Whether one of the other languages has two different function words here, every sixth word, and more than English."""
-    marks = [w for w in words if w in _MARKS]
-    return len(marks) > max(1, english) and any(k > english and k * 6 >= len(words) and len({w for w in marks if w in LANGUAGES[name]}) > 1 for name, k in _shares(marks).items() if name != "en")
-
-
 def _foreign(unit: str) -> bool:
     return any(ord(c) > 0xBF and c.isalpha() for c in unit)
 
 
+def own_text(text: str, cut: Cut) -> str:
+    """The lines of a page that are its own: those of the main body, and long ones that the site does not repeat."""
+    lines = text.split("\n")
+    return "\n".join(lines[n - 1].strip() for n, frame, share in zip(*cut, strict=True) if not frame or share == 0 and len(lines[n - 1].split()) >= OWN_WORDS)
+
+
 def blocks(text: str, lang: str) -> list[dict[str, int | str]]:
     """Of each block its bytes (n), those after compression (z), its words (w), the different ones (d) and its language (l).
 
@@ -130,43 +122,42 @@ def language(text: str, words: list[str], page: str = "") -> str:
     return "latin+" if _foreign(text) else "latin"
 
 
-def stuffed_pages(pages: DataFrame, id: str = "fetch_id", page: str = "page", url: str = "url", title: str = "title", redundant: float = REDUNDANT) -> DataFrame:  # noqa: A002
-    """id, prose and rest (characters), ratio (redundancy of the rest against sentences), ends (per 100 words), stuffed.
+def stuffed_pages(pages: DataFrame, id: str = "fetch_id", page: str = "page", url: str = "url", title: str = "title", links: str = "urls", redundant: float = REDUNDANT) -> DataFrame:  # noqa: A002
+    """id, prose and rest (characters), ratio (redundancy of the rest against sentences), ends and links (per 100 words), stuffed.
 
-    Of each page's main body, as the minimum cut finds it, sentences are parted from the rest. Both are compressed in
-    blocks. The median ratio of the sentences' blocks of all pages, by length (quarters of a power of two) and language of
-    the block, is what a block may be expected to have, and so is the median share of different words: tables of one form
-    compress well but name different things. Where a Latin language has no sentences of a length, those of all Latin ones
-    stand in. A page is stuffed if most of its body is no sentences, those parts have
-    less than `redundant` of the expectation, by the mean of both measures or extremely by compression alone, and sentence ends are rare in them.
+    Of each page's own lines (the main body, as the minimum cut finds it, and long lines that the site does not repeat),
+    what ends like sentences is parted from the rest. Both are compressed in blocks. The median ratio of the sentences'
+    blocks of all pages, by length (quarters of a power of two) and language of the block, is what a block may be expected
+    to have, and so is the median share of different words: tables of one form compress well but name different things.
+    Where a Latin language has no sentences of a length, those of all Latin ones stand in. A page is stuffed if most of its
+    own text is no sentences, those parts have less than `redundant` of the expectation, by the mean of both measures or
+    extremely by compression alone, or a little more on a page of many out-links, and sentence ends are rare in them.
 
-    Null and blank pages are left out. Repeated rows give repeated results.
+    Null and blank pages are left out; null lists have no links. Repeated rows give repeated results.
     """
 
-    def measured(texts: list[str], cuts: list[tuple[list[int], list[bool], list[bool]]]) -> dict[str, pa.Array]:
-        made: dict[str, list] = {"prose": [], "rest": [], "ends": [], "of_prose": [], "of_rest": []}
-        for text, (numbers, cut, dense) in zip(texts, cuts, strict=True):
-            lines = text.split("\n")
-            whole, parts = [], []
-            for n, frame, full in zip(numbers, cut, dense, strict=True):
-                if not frame:
-                    (whole if full else parts).append(lines[n - 1].strip())
-            # A line with a quarter of function words is sentences as a whole; the others are looked at by sentence.
-            body = "\n".join([*whole, *parts])
-            lang = language(body, _WORD.findall(body.lower()))
-            some, rest = split_prose("\n".join(parts), lang)
-            prose = "\n".join([*whole, some] if some else whole)
+    def measured(texts: list[str], cuts: list[Cut]) -> dict[str, pa.Array]:
+        made: dict[str, list] = {"prose": [], "rest": [], "ends": [], "words": [], "of_prose": [], "of_rest": []}
+        for text, cut in zip(texts, cuts, strict=True):
+            body = own_text(text, cut)
+            words = _WORD.findall(body.lower())
+            lang = language(body, words)
+            prose, rest = split_prose(body)
             made["prose"].append(len(prose))
             made["rest"].append(len(rest))
             made["ends"].append(100 * len(_END.findall(rest)) / max(1, len(_WORD.findall(rest))))
+            made["words"].append(len(words))
             made["of_prose"].append(blocks(prose, lang))
             made["of_rest"].append(blocks(rest, lang) if len(rest) > len(prose) else [])
         block = pa.list_(pa.struct([*((c, pa.int32()) for c in "nzwd"), ("l", pa.string())]))
-        kinds = {"prose": pa.int32(), "rest": pa.int32(), "ends": pa.float64(), "of_prose": block, "of_rest": block}
+        kinds = {"prose": pa.int32(), "rest": pa.int32(), "ends": pa.float64(), "words": pa.int32(), "of_prose": block, "of_rest": block}
         return {k: pa.array(v, kinds[k]) for k, v in made.items()}
 
     block = "array<struct<n: int, z: int, w: int, d: int, l: string>>"
-    rows = materialise(over_pages(pages, measured, f"prose int, rest int, ends double, of_prose {block}, of_rest {block}", id, page, url, title).withColumnRenamed(id, "_id"), "measured")
+    linked = pages.withColumn("_links", F.greatest(F.size(links), F.lit(0)))
+    got = over_pages(linked, measured, f"prose int, rest int, ends double, words int, of_prose {block}, of_rest {block}", id, page, url, title, ["_links"])
+    got = got.withColumn("links", 100 * F.col("_links") / F.greatest("words", F.lit(1))).drop("_links", "words")
+    rows = materialise(got.withColumnRenamed(id, "_id"), "measured")
     size = F.floor(F.log2("b.n") * 4).cast("int").alias("size")
     # A block counts for its language and, where the script is Latin, for all languages of that script.
     kinds = F.when(F.col("b.l").startswith("script "), F.array("b.l")).otherwise(F.array_distinct(F.array("b.l", F.lit("latin"))))
@@ -174,7 +165,7 @@ def stuffed_pages(pages: DataFrame, id: str = "fetch_id", page: str = "page", ur
     # At most 45 sizes of nine Latin classes and each script.
     usual = materialise(usual.groupBy("lang", "size").agg(F.percentile_approx("q", 0.5, 10000).alias("dense"), F.percentile_approx("r", 0.5, 10000).alias("different")), "usual")
     latin = usual.where("lang = 'latin'").select("size", F.col("dense").alias("dense_latin"), F.col("different").alias("different_latin"))
-    asked = rows.where(F.col("rest") > F.col("prose")).select("_id", "prose", "rest", "ends", F.explode("of_rest").alias("b")).select("_id", "prose", "rest", "ends", F.col("b.l").alias("lang"), "b", size)
+    asked = rows.where(F.col("rest") > F.col("prose")).select("_id", "prose", "rest", "ends", "links", F.explode("of_rest").alias("b")).select("_id", "prose", "rest", "ends", "links", F.col("b.l").alias("lang"), "b", size)
     found = asked.join(F.broadcast(usual), ["lang", "size"], "left").join(F.broadcast(latin), "size", "left")
     of_latin = ~F.col("lang").startswith("script ")
     # A size that no sentences have counts as dense and as varied as long texts are.
@@ -182,19 +173,24 @@ def stuffed_pages(pages: DataFrame, id: str = "fetch_id", page: str = "page", ur
     different = F.coalesce(F.col("different"), F.when(of_latin, F.col("different_latin")), F.lit(0.5))
     of_bytes = F.sum("b.z") / F.sum(dense * F.col("b.n"))
     of_words = F.coalesce(F.try_divide(F.sum("b.d"), F.sum(different * F.col("b.w"))), F.lit(1.0))
-    per_page = found.groupBy("_id", "prose", "rest", "ends").agg(((of_bytes + of_words) / 2).alias("ratio"), of_bytes.alias("bytes"))
-    stuffed = (F.col("rest") >= LEAST) & ((F.col("ratio") < redundant) | (F.col("bytes") < EXTREME)) & (F.col("ends") < FEW_ENDS)
-    judged = per_page.select(F.col("_id").alias(id), "prose", "rest", "ratio", "ends", stuffed.alias("stuffed"))
-    plain = rows.where(F.col("rest") <= F.col("prose")).select(F.col("_id").alias(id), "prose", "rest", F.lit(None).cast("double").alias("ratio"), "ends", F.lit(False).alias("stuffed"))
+    per_page = found.groupBy("_id", "prose", "rest", "ends", "links").agg(((of_bytes + of_words) / 2).alias("ratio"), of_bytes.alias("bytes"))
+    bound = F.when(F.col("links") >= MANY_LINKS, F.greatest(F.lit(redundant), F.lit(REDUNDANT_LINKS))).otherwise(F.lit(redundant))
+    stuffed = ((F.col("ratio") < bound) | (F.col("bytes") < EXTREME)) & (F.col("ends") < FEW_ENDS)
+    judged = per_page.select(F.col("_id").alias(id), "prose", "rest", "ratio", "ends", "links", stuffed.alias("stuffed"))
+    plain = rows.where(F.col("rest") <= F.col("prose")).select(F.col("_id").alias(id), "prose", "rest", F.lit(None).cast("double").alias("ratio"), "ends", "links", F.lit(False).alias("stuffed"))
     return judged.unionByName(plain)
 
 
+def _crawl(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "crawl").select("fetch_id", "url", "title", "page", "urls"))
+
+
 def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffed_pages(table(spark, folder, "crawl")).dropDuplicates(["fetch_id"])
+    return stuffed_pages(_crawl(spark, folder)).dropDuplicates(["fetch_id"])
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffed_pages(table(spark, folder, "crawl")).where("stuffed").select("fetch_id").distinct()
+    return stuffed_pages(_crawl(spark, folder)).where("stuffed").select("fetch_id").distinct()
 
 
 SQL: dict[str, str] = {}
