@@ -6,7 +6,8 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,14 @@ SENTENCE_WORDS, SENTENCE_LETTERS = 4, 8
 #: Of lines that the cut of problem 3 drops, those of so many words are measured all the same, unless the site repeats them.
 OWN_WORDS = 12
 _WORD = re.compile(r"[^\W\d_]+")
-_UNIT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[.!?][”\"’'»)])\s+|(?<=[。！？।؟])")
+_UNIT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[.!?][”\"’'»)])\s+")
+#: Signs that end sentences in scripts that put no blank behind them.
+_TIGHT = "。！？।؟"
+_TIGHT_UNIT = re.compile(_UNIT.pattern + f"|(?<=[{_TIGHT}])")
 _END = re.compile(r"(?<=[\w”\"’'»)\]])[.?!…。！？।؟](?![.?!\w])")
+_ENDS = frozenset(".?!…。！？।؟")
 _LETTER = re.compile(r"[^\W\d_]")
+_BEYOND = re.compile(r"[^\W\d_\x00-\u00bf]")
 _FAR_LETTER = re.compile(r"[^\W\d_\x00-\u024f]")
 
 
@@ -46,7 +52,7 @@ _MARKS = {w: tuple(name for name, words in LANGUAGES.items() if w in words) for
 
 def units(text: str) -> Iterator[str]:
     """Lines and sentences; runs of over 80 words without an end in pieces of 25."""
-    for unit in _UNIT.split(text):
+    for unit in (_TIGHT_UNIT if any(c in text for c in _TIGHT) else _UNIT).split(text):
         words = unit.split()
         if len(words) > 80:
             for k in range(0, len(words), 25):
@@ -60,13 +66,14 @@ def split_prose(text: str) -> tuple[str, str]:
     prose, other = [], []
     for unit in units(text):
         tail = unit.rstrip("”\"’'»)] \t\r")
-        long = len(_WORD.findall(unit)) >= SENTENCE_WORDS or not unit.isascii() and len(_FAR_LETTER.findall(unit)) >= SENTENCE_LETTERS
-        (prose if long and _END.search(tail, max(0, len(tail) - 1)) else other).append(unit)
+        ends = tail[-1:] in _ENDS and _END.search(tail, len(tail) - 1) is not None
+        long = ends and (len(_WORD.findall(unit)) >= SENTENCE_WORDS or not unit.isascii() and len(_FAR_LETTER.findall(unit)) >= SENTENCE_LETTERS)
+        (prose if long else other).append(unit)
     return "\n".join(prose), "\n".join(other)
 
 
-def _foreign(unit: str) -> bool:
-    return any(ord(c) > 0xBF and c.isalpha() for c in unit)
+def _foreign(text: str) -> bool:
+    return not text.isascii() and _BEYOND.search(text) is not None
 
 
 def own_text(text: str, cut: Cut) -> str:
@@ -75,51 +82,73 @@ def own_text(text: str, cut: Cut) -> str:
     return "\n".join(lines[n - 1].strip() for n, frame, share in zip(*cut, strict=True) if not frame or share == 0 and len(lines[n - 1].split()) >= OWN_WORDS)
 
 
-def blocks(text: str, lang: str) -> list[dict[str, int | str]]:
-    """Of each block its bytes (n), those after compression (z), its words (w), the different ones (d) and its language (l).
+@dataclass(slots=True)
+class Block:
+    """Bytes (n), those after compression (z), words (w), the different ones (d); function words by language, script, letters."""
 
-    lang is the page's: that of blocks that hold too few function words to tell, or as many of this language as of others.
-    """
-    out: list[dict[str, int | str]] = []
-    for k in range(0, len(text), BLOCK):
-        part = text[k : k + BLOCK]
-        raw = part.encode("utf-8", "surrogatepass")
-        words = _WORD.findall(part.lower())
-        out.append({"n": len(raw), "z": len(zlib.compress(raw, 6)), "w": len(words), "d": len(set(words)), "l": language(part, words, lang)})
-    return out
+    n: int
+    z: int
+    w: int
+    d: int
+    marks: dict[str, int]
+    script: str
+    foreign: bool
+
+
+def block_of(text: str) -> Block:
+    raw = text.encode("utf-8", "surrogatepass")
+    words = _WORD.findall(text.lower())
+    return Block(len(raw), len(zlib.compress(raw, 6)), len(words), len(set(words)), function_words(words), script(text), _foreign(text))
+
+
+def blocks(text: str) -> list[Block]:
+    return [block_of(text[k : k + BLOCK]) for k in range(0, len(text), BLOCK)]
 
 
-def _shares(words: list[str]) -> Counter[str]:
+def function_words(words: list[str]) -> dict[str, int]:
     """How many of the words are function words of each language."""
-    counts: Counter[str] = Counter()
-    for w, n in Counter(filter(_MARKS.__contains__, words)).items():
+    counts: dict[str, int] = {}
+    for w in filter(_MARKS.__contains__, words):
         for name in _MARKS[w]:
-            counts[name] += n
+            counts[name] = counts.get(name, 0) + 1
     return counts
 
 
-def language(text: str, words: list[str], page: str = "") -> str:
-    """Language of a text by its function words, or the script of most of its letters where that is not Latin.
+def script(text: str) -> str:
+    """The script of most of a text's letters where that is not Latin, else an empty string."""
+    if text.isascii() or not _FAR_LETTER.search(text):
+        return ""
+    far = Counter(_FAR_LETTER.findall(text))
+    if 2 * far.total() <= len(_LETTER.findall(text)):
+        return ""
+    scripts: Counter[str] = Counter()
+    for c, n in far.items():
+        scripts[unicodedata.name(c, "other").split()[0].lower()] += n
+    return "script " + max(sorted(scripts), key=scripts.__getitem__)
+
+
+def language(found: Sequence[Block], page: str = "") -> str:
+    """Language of a text's blocks by their function words, or its script where that is not Latin.
 
     Latin texts of too few function words are of the page's language, if that is a Latin one. Else those with letters
     beyond ASCII are "latin+", others "latin", which stands for all languages of that script. Bytes after compression
     and different words depend on all of this.
     """
-    if not text.isascii():
-        far = Counter(_FAR_LETTER.findall(text))
-        if 2 * far.total() > len(_LETTER.findall(text)):
-            scripts: Counter[str] = Counter()
-            for c, n in far.items():
-                scripts[unicodedata.name(c, "other").split()[0].lower()] += n
-            return "script " + max(sorted(scripts), key=scripts.__getitem__)
-    counts = _shares(words)
+    sizes: Counter[str] = Counter()
+    counts: Counter[str] = Counter()
+    for b in found:
+        sizes[b.script] += b.n
+        counts.update(b.marks)
+    of = max(sizes, key=sizes.__getitem__, default="")
+    if of:
+        return of
     most = max(counts.values(), default=0)
-    if most >= 2 and most * 12 >= len(words):
+    if most >= 2 and most * 12 >= sum(b.w for b in found):
         best = [name for name in LANGUAGES if counts[name] == most]
         return page if page in best else best[0]
     if page and not page.startswith("script "):
         return page
-    return "latin+" if _foreign(text) else "latin"
+    return "latin+" if any(b.foreign for b in found) else "latin"
 
 
 def stuffed_pages(pages: DataFrame, id: str = "fetch_id", page: str = "page", url: str = "url", title: str = "title", links: str = "urls", redundant: float = REDUNDANT) -> DataFrame:  # noqa: A002
@@ -139,16 +168,17 @@ def stuffed_pages(pages: DataFrame, id: str = "fetch_id", page: str = "page", ur
     def measured(texts: list[str], cuts: list[Cut]) -> dict[str, pa.Array]:
         made: dict[str, list] = {"prose": [], "rest": [], "ends": [], "words": [], "of_prose": [], "of_rest": []}
         for text, cut in zip(texts, cuts, strict=True):
-            body = own_text(text, cut)
-            words = _WORD.findall(body.lower())
-            lang = language(body, words)
-            prose, rest = split_prose(body)
+            prose, rest = split_prose(own_text(text, cut))
+            of_prose, of_rest = blocks(prose), blocks(rest)
+            lang = language(of_prose + of_rest)
+            words = sum(b.w for b in of_rest)
+            more = len(rest) > len(prose)
             made["prose"].append(len(prose))
             made["rest"].append(len(rest))
-            made["ends"].append(100 * len(_END.findall(rest)) / max(1, len(_WORD.findall(rest))))
-            made["words"].append(len(words))
-            made["of_prose"].append(blocks(prose, lang))
-            made["of_rest"].append(blocks(rest, lang) if len(rest) > len(prose) else [])
+            made["ends"].append(100 * len(_END.findall(rest)) / max(1, words))
+            made["words"].append(words + sum(b.w for b in of_prose))
+            for name, some in (("of_prose", of_prose), ("of_rest", of_rest if more else [])):
+                made[name].append([{"n": b.n, "z": b.z, "w": b.w, "d": b.d, "l": language([b], lang)} for b in some])
         block = pa.list_(pa.struct([*((c, pa.int32()) for c in "nzwd"), ("l", pa.string())]))
         kinds = {"prose": pa.int32(), "rest": pa.int32(), "ends": pa.float64(), "words": pa.int32(), "of_prose": block, "of_rest": block}
         return {k: pa.array(v, kinds[k]) for k, v in made.items()}

@@ -491,9 +491,9 @@ def test_sentences_of_all_languages(sentence):
 def test_language_of_each_block():
     russian = "Старый мост был закрыт после наводнения, и никто не знал почему. "
     text = DUTCH.ljust(stuffed.BLOCK, " ") + (russian * 40)[: stuffed.BLOCK] + "lamp stoel tafel " * 20
-    assert [b["l"] for b in stuffed.blocks(text, "nl")] == ["nl", "script cyrillic", "nl"]
-    assert [b["l"] for b in stuffed.blocks("lamp stoel tafel " * 20, "")] == ["latin"]
-    assert [stuffed.language(x, stuffed._WORD.findall(x.lower())) for x in (PROSE, GERMAN, ITALIAN, "buy lamps in Rome, buy lamps in Oslo")] == ["en", "de", "it", "en"]
+    assert [stuffed.language([b], "nl") for b in stuffed.blocks(text)] == ["nl", "script cyrillic", "nl"]
+    assert [stuffed.language([b]) for b in stuffed.blocks("lamp stoel tafel " * 20)] == ["latin"]
+    assert [stuffed.language(stuffed.blocks(x)) for x in (PROSE, GERMAN, ITALIAN, "buy lamps in Rome, buy lamps in Oslo", "")] == ["en", "de", "it", "en", "latin"]
 
 
 def test_medians_by_language(spark):
