@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,10 @@ class TableMissing(RuntimeError):
 class TableStore:
     """Tables below one folder of any file system Spark knows. A table has a `key` and string columns.
 
-    Writes append cells with a sequence number; readers keep the last of each cell, and `compact` folds them into one
-    row a key, sorted by key, so that range scans and look-ups skip row groups. Nothing is read to write.
+    Every write is a folder of its own, which appears when it is whole, with a number from the clock; readers keep the
+    last of each cell. Nothing is read to write. `compact` folds the writes that it finds into one, sorted by key, so that
+    range scans and look-ups skip row groups; a marker, which also appears whole, says which folders it stands for.
+    What is written meanwhile stays. Folded cells keep their numbers, so where both count for a moment, they agree.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -29,6 +32,7 @@ class TableStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
+        self._last = 0
 
     _LOG = "key string, name string, value string, seq bigint, whole boolean"
 
@@ -40,20 +44,39 @@ class TableStore:
     def exists(self, table: str) -> bool:
         return self._fs.exists(self._path(self._at(table)))
 
-    def _next(self, table: str) -> int:
-        if not self.exists(table):
-            return 1
-        return (self._log(table).agg(F.max("seq")).first()[0] or 0) + 1
+    def _next(self) -> int:
+        """A number above all that this store gave, and above those of other writers with a clock that agrees."""
+        self._last = max(self._last + 1, time.time_ns())
+        return self._last
 
-    def _log(self, table: str) -> DataFrame:
+    def _names(self, table: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(self._at(table)))]
+
+    def _live(self, table: str) -> list[str]:
+        """The folders that count: all writes but those that a marker says are folded."""
         if not self.exists(table):
             raise TableMissing(table)
-        return self.spark.read.schema(self._LOG).option("recursiveFileLookup", "true").parquet(self._at(table))
+        names = self._names(table)
+        folded: set[str] = set()
+        for name in names:
+            if name.startswith("_folded-"):
+                folded |= {r["value"] for r in self.spark.read.text(f"{self._at(table)}/{name}").collect()}
+        return sorted(n for n in names if n.startswith("w-") and n not in folded)
+
+    def _log(self, table: str) -> DataFrame:
+        live = [f"{self._at(table)}/{n}" for n in self._live(table)]
+        return self.spark.read.schema(self._LOG).parquet(*live) if live else self.spark.createDataFrame([], self._LOG)
+
+    def _append(self, table: str, log: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        part = f"{self._at(table)}/.w-{name}"
+        log.write.parquet(part)
+        self._fs.rename(self._path(part), self._path(f"{self._at(table)}/w-{name}"))
+        return f"w-{name}"
 
     def put_many(self, table: str, cells: DataFrame) -> None:
         """Merge cells (key, name, value) into their rows."""
-        rows = cells.select("key", "name", "value", F.lit(self._next(table)).cast("bigint").alias("seq"), F.lit(False).alias("whole"))
-        rows.write.mode("append").parquet(self._at(table))
+        self._append(table, cells.select("key", "name", "value", F.lit(self._next()).cast("bigint").alias("seq"), F.lit(False).alias("whole")))
 
     def put(self, table: str, key: str, name: str, value: str) -> None:
         self.put_many(table, self.spark.createDataFrame([(key, name, value)], "key string, name string, value string"))
@@ -64,18 +87,21 @@ class TableStore:
         """Replace whole rows: `key` and any string columns; a null column is absent."""
         names = [c for c in rows.columns if c != "key"]
         cells = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names), F.struct(F.lit("").alias("name"), F.lit("").alias("value"))))
-        log = rows.select("key", cells.alias("c")).select("key", "c.name", "c.value", F.lit(self._next(table)).cast("bigint").alias("seq"), F.lit(True).alias("whole"))
-        log.where("value is not null").write.mode("append").parquet(self._at(table))
+        log = rows.select("key", cells.alias("c")).select("key", "c.name", "c.value", F.lit(self._next()).cast("bigint").alias("seq"), F.lit(True).alias("whole"))
+        self._append(table, log.where("value is not null"))
 
     batch_put = put_rows
 
-    def cells(self, table: str) -> DataFrame:
-        """key, name, value: the cells that hold."""
-        log = self._log(table)
+    def _cells(self, log: DataFrame) -> DataFrame:
+        """key, name, value, seq, whole of the cells that hold."""
         bounds = log.groupBy("key").agg(F.max(F.when(F.col("whole"), F.col("seq"))).alias("since"))
         live = log.join(bounds, "key").where(F.col("since").isNull() | (F.col("seq") >= F.col("since")))
-        last = live.groupBy("key", "name").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
-        return last
+        last = live.groupBy("key", "name").agg(F.max(F.struct("seq", "value", "whole")).alias("c"))
+        return last.select("key", "name", "c.value", "c.seq", "c.whole")
+
+    def cells(self, table: str) -> DataFrame:
+        """key, name, value: the cells that hold."""
+        return self._cells(self._log(table)).select("key", "name", "value")
 
     def rows(self, table: str) -> DataFrame:
         """key and columns (map of name to value)."""
@@ -103,12 +129,22 @@ class TableStore:
         return self._log(table).select("key").distinct().count()
 
     def compact(self, table: str) -> None:
-        """Fold the log into its last state, sorted by key."""
-        state = self.cells(table).select("key", "name", "value", F.lit(0).cast("bigint").alias("seq"), F.lit(False).alias("whole"))
-        fresh = f"{self.root}/.{table}-{uuid.uuid4().hex}"
-        state.repartitionByRange("key").sortWithinPartitions("key").write.parquet(fresh)
-        self._fs.delete(self._path(self._at(table)), True)
-        self._fs.rename(self._path(fresh), self._path(self._at(table)))
+        """Fold the writes that are there now into one, sorted by key."""
+        old = self._live(table)
+        if not old:
+            return
+        log = self.spark.read.schema(self._LOG).parquet(*(f"{self._at(table)}/{n}" for n in old))
+        state = self._cells(log).repartitionByRange("key").sortWithinPartitions("key")
+        fresh, marker = uuid.uuid4().hex, f"{self._at(table)}/_folded-{uuid.uuid4().hex}"
+        # The folded cells lie ready under a name that does not count yet; the marker makes them count instead of the old.
+        state.write.parquet(f"{self._at(table)}/.w-{fresh}")
+        names = self.spark.createDataFrame([(n,) for n in old], "value string").coalesce(1)
+        names.write.text(f"{marker.rpartition('/')[0]}/.{marker.rpartition('/')[2]}")
+        self._fs.rename(self._path(f"{self._at(table)}/.w-{fresh}"), self._path(f"{self._at(table)}/w-{fresh}"))
+        self._fs.rename(self._path(f"{marker.rpartition('/')[0]}/.{marker.rpartition('/')[2]}"), self._path(marker))
+        for name in old:
+            self._fs.delete(self._path(f"{self._at(table)}/{name}"), True)
+        self._fs.delete(self._path(marker), True)
 
     def rename(self, old: str, new: str) -> None:
         if not self.exists(old):
