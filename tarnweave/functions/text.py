@@ -52,12 +52,20 @@ def page_description(html: Column | str, strict: bool = True) -> Column:
     return F.coalesce(F.nullif(meta, F.lit("")), cut)
 
 
+# An opening tag of an anchor whose attributes are plain words with or without a value, and one attribute.
+ANCHOR = r"""(?i)<\s*a((?:\s+\w+(?:\s*=\s*(?:"[^"\n]*"|'[^'\n]*'|[^'">\s]+))?)*)\s*>"""
+ATTRIBUTE = r"""\s+(\w+)(?:\s*=\s*("[^"\n]*"|'[^'\n]*'|[^'">\s]+))?"""
+
+
 def page_links(html: Column | str) -> Column:
-    """Array of the href values of anchors whose attributes are all plain words; blank ones left out."""
-    tags = F.regexp_extract_all(_col(html), F.lit(r"(?i)(<a(?:\s+\w+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))+\s*/?>)"), F.lit(1))
-    href = r"(?i)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    values = F.transform(tags, lambda t: F.trim(F.concat(*(F.regexp_extract(t, href, k) for k in (1, 2, 3)))))
-    return F.filter(values, lambda v: v != "")
+    """Array of the values of every href of anchors whose attributes are all plain words; blank ones left out.
+
+    An attribute need not have a value; blanks may stand behind the bracket; a tag with any other sign is no anchor.
+    """
+    inside = F.regexp_extract_all(_col(html), F.lit(ANCHOR), F.lit(1))
+    pairs = F.flatten(F.transform(inside, lambda t: F.arrays_zip(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(1)).alias("k"), F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(2)).alias("v"))))
+    values = F.transform(F.filter(pairs, lambda p: F.lower(p["k"]) == "href"), lambda p: F.regexp_replace(p["v"], r"""^["']|["']$""", ""))
+    return F.filter(values, lambda v: F.trim(v) != "")
 
 
 def index_tokens(text: Column | str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass, field
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -30,22 +32,23 @@ def url_parts(url: Column | str) -> Column:
 
 
 def normalize_url(url: str | None, base: str | None = None) -> str | None:
-    """The absolute form with explicit port and without fragment; null for what is no web page."""
+    """The absolute form with explicit port and without fragment, user and query kept; null for what is no web page."""
     if url is None:
         return None
     try:
-        joined = urlsplit(urljoin(base, url.strip()) if base else url.strip())
-        port, host = joined.port, joined.netloc.rpartition("@")[2]
+        joined = urlsplit(urljoin(base, url) if base else url)
+        port = joined.port
     except ValueError:
         return None
     scheme = joined.scheme.lower()
+    user, at, host = joined.netloc.rpartition("@")
     host = re.sub(r":\d*$", "", host)
-    if scheme not in _PORTS or not host:
+    if scheme not in _PORTS or not host or re.search(r"\s", url):
         return None
     path = joined.path or "/"
-    if re.search(r"\s", joined.path + joined.query + host) or path.lower().endswith(IGNORED_SUFFIXES):
+    if path.lower().endswith(IGNORED_SUFFIXES):
         return None
-    return f"{scheme}://{host}:{port or _PORTS[scheme]}{path}" + (f"?{joined.query}" if joined.query else "")
+    return f"{scheme}://{user}{at}{host}:{port or _PORTS[scheme]}{path}" + (f"?{joined.query}" if joined.query else "")
 
 
 @F.pandas_udf(T.StringType())
@@ -56,14 +59,14 @@ def normalized(url: pd.Series, base: pd.Series) -> pd.Series:
 
 def normalized_absolute(url: Column | str) -> Column:
     """`normalize_url` for urls that have a scheme and no dot segments, as a built-in expression."""
-    url = F.trim(_col(url))
-    pattern = r"^([a-zA-Z]+)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)(\?[^#]+)?"
-    scheme, host, port, path, query = (F.regexp_extract(url, pattern, k) for k in range(1, 6))
+    url = _col(url)
+    pattern = r"^([a-zA-Z]+)://([^/?#@]*@)?([^/?#:@]+)(?::([0-9]+))?([^?#]*)(\?[^#]+)?"
+    scheme, user, host, port, path, query = (F.regexp_extract(url, pattern, k) for k in range(1, 7))
     scheme = F.lower(scheme)
     known = F.coalesce(F.nullif(port, F.lit("")), F.when(scheme == "https", "443").otherwise("80"))
     path = F.when(path == "", "/").otherwise(path)
     kept = scheme.isin(*_PORTS) & (host != "") & ~F.lower(path).rlike(r"\.(jpg|jpeg|gif|png|txt)$") & ~url.rlike(r"\s")
-    return F.when(kept, F.concat(scheme, F.lit("://"), host, F.lit(":"), known, path, query))
+    return F.when(kept, F.concat(scheme, F.lit("://"), user, host, F.lit(":"), known, path, query))
 
 
 def is_ignored(url: Column | str) -> Column:
@@ -93,58 +96,70 @@ def host_key_name(url: Column | str) -> Column:
 DENIED, ALLOWED, WAIT = 0, 1, 2
 
 
-def parse_robots(text: str | None) -> dict[str, dict]:
-    """Blocks by agent in lower case: rules in order as (allow, path), and the first crawl delay in seconds."""
-    blocks: dict[str, dict] = {}
-    agents = ["*"]
-    in_rules = False
-    for line in (text or "").splitlines():
-        key, found, value = line.split("#", 1)[0].partition(":")
+@dataclass
+class Block:
+    """What a robots text says to one agent: rules in order as (allow, path), and the first crawl delay in seconds."""
+
+    rules: list[tuple[bool, str]] = field(default_factory=list)
+    delay: float | None = None
+
+
+@functools.lru_cache(maxsize=1024)
+def parse_robots(text: str | None, strict: bool = True) -> dict[str, Block]:
+    """Blocks by agent in lower case; lines before the first agent belong to `*`, which always has one.
+
+    Keys and values are parted by a line's first colon; lines without a value do not count, nor do delays that are no
+    numbers. Every agent line opens its own block; with strict=False agents named in a row share what follows, and
+    comments behind # are taken off first.
+    """
+    blocks = {"*": Block()}
+    current = [blocks["*"]]
+    named = False
+    for line in re.split(r"[\r\n]", text or ""):
+        key, found, value = (line if strict else line.split("#", 1)[0]).partition(":")
         key, value = key.strip().lower(), value.strip()
         if not found or not value:
             continue
         if key == "user-agent":
-            agents = [value.lower()] if in_rules or agents == ["*"] and "*" not in blocks else [*agents, value.lower()]
-            in_rules = False
-            for a in agents:
-                blocks.setdefault(a, {"rules": [], "delay": None})
-            continue
-        in_rules = True
-        for a in agents:
-            block = blocks.setdefault(a, {"rules": [], "delay": None})
-            if key in ("allow", "disallow"):
-                block["rules"].append((key == "allow", value))
-            elif key == "crawl-delay" and block["delay"] is None:
-                try:
-                    block["delay"] = float(value)
-                except ValueError:
-                    pass
+            block = blocks.setdefault(value.lower(), Block())
+            current = [*current, block] if named and not strict else [block]
+        elif key in ("allow", "disallow"):
+            for block in current:
+                block.rules.append((key == "allow", value))
+        elif key == "crawl-delay":
+            for block in current:
+                if block.delay is None:
+                    try:
+                        block.delay = float(value)
+                    except ValueError:
+                        pass
+        named = key == "user-agent"
     return blocks
 
 
-def robots_decision(robots: str | None, path: str | None, agent: str, now_ms: int, last_ms: int | None) -> int:
-    """DENIED, ALLOWED or WAIT: the first rule in order whose path begins the url's path, then the crawl delay."""
-    blocks = parse_robots(robots)
-    fitting = [name for name in blocks if name == "*" or name in agent.lower()]
-    if not fitting:
-        return ALLOWED
-    block = blocks[max(fitting, key=lambda n: (n != "*", len(n), n))]
-    for allow, prefix in block["rules"]:
+def robots_decision(robots: str | None, path: str | None, agent: str, now_ms: int, last_ms: int | None, strict: bool = True) -> int:
+    """DENIED, ALLOWED or WAIT: the first rule in order whose path begins the url's path, then the crawl delay, 0 if none.
+
+    The block is that of the longest agent that is `*` or part of one's own name.
+    """
+    blocks = parse_robots(robots, strict)
+    block = blocks[max((n for n in blocks if n == "*" or n in agent.lower()), key=lambda n: (len(n), n != "*", n))]
+    for allow, prefix in block.rules:
         if (path or "/").startswith(prefix):
             if not allow:
                 return DENIED
             break
-    if block["delay"] is not None and last_ms is not None and now_ms < last_ms + 1000 * block["delay"]:
+    if last_ms is not None and now_ms < last_ms + 1000 * (block.delay or 0.0):
         return WAIT
     return ALLOWED
 
 
 def longest_match(robots: str | None, path: str | None, agent: str) -> tuple[bool, float]:
     """The other policy: whether the longest matching rule allows a path (Allow wins ties), and the delay, 1.0 by default."""
-    blocks = parse_robots(robots)
-    block = blocks.get(agent.lower()) or blocks.get("*") or {"rules": [], "delay": None}
-    fitting = [(len(prefix), allow) for allow, prefix in block["rules"] if (path or "/").startswith(prefix)]
-    return (max(fitting)[1] if fitting else True), 1.0 if block["delay"] is None else block["delay"]
+    blocks = parse_robots(robots, strict=False)
+    block = blocks.get(agent.lower()) or blocks["*"]
+    fitting = [(len(prefix), allow) for allow, prefix in block.rules if (path or "/").startswith(prefix)]
+    return (max(fitting)[1] if fitting else True), 1.0 if block.delay is None else block.delay
 
 
 def robots_decisions(agent: str):
