@@ -168,9 +168,10 @@ class PairFlow(_Base):
     def collect(self) -> list[tuple[str, str]]:
         return [(r[0], r[1]) for r in self.df.collect()]
 
-    def save_as_table(self, name: str) -> None:
-        """A row for each key with the array of its values."""
-        self.df.groupBy("key").agg(F.sort_array(F.collect_list("value")).alias("values")).write.mode("overwrite").saveAsTable(name)
+    def save_as_table(self, name: str, path: str | None = None) -> None:
+        """A row for each key with the array of its values; `path` is where the table lies, by default in the warehouse."""
+        writer = self.df.groupBy("key").agg(F.sort_array(F.collect_list("value")).alias("values")).write.mode("overwrite")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
 
     def flat_map(self, f: Expression) -> Flow:
         return Flow(self.df.select(F.explode(f(F.col("key"), F.col("value"))).alias("value")))

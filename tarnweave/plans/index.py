@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,13 @@ from tarnweave.session import materialise
 from tarnweave.sources.tables import latest_rows
 
 
-def current_pages(crawl: DataFrame) -> DataFrame:
-    """key, url, page, urls of each crawled key: the row stored last holds, as the store replaces rows by key."""
-    rows = crawl.where("key is not null").select("key", "url", "page", "urls", "stored_at", "fetched_at", "fetch_id")
-    return latest_rows(rows, ["key"], ["stored_at", "fetched_at", "fetch_id"]).select("key", "url", "page", "urls")
+def current_pages(crawl: DataFrame, columns: Sequence[str] = ("url", "page", "urls")) -> DataFrame:
+    """key and the asked columns of each crawled key: the row stored last holds, as the store replaces rows by key.
+
+    Only what is asked for is read, sorted and shuffled.
+    """
+    rows = crawl.where("key is not null").select("key", *columns, "stored_at", "fetched_at", "fetch_id")
+    return latest_rows(rows, ["key"], ["stored_at", "fetched_at", "fetch_id"]).select("key", *columns)
 
 
 def indexable(pages: DataFrame) -> DataFrame:
@@ -22,8 +27,11 @@ def indexable(pages: DataFrame) -> DataFrame:
 
 
 def postings(pages: DataFrame, text: str = "page") -> DataFrame:
-    """word, key: each different word of each page that has url and page. Rows, not lists: a word of all pages is no big row."""
-    return indexable(pages).select("key", F.explode(index_tokens(text)).alias("word")).select("word", "key")
+    """word, key: each different word of each page that has url and page. Rows, not lists: a word of all pages is no big row.
+
+    A null text gives no word, so it is not asked for: a test would clean each page twice where the text is an expression.
+    """
+    return pages.where("url is not null").select("key", F.explode(index_tokens(text)).alias("word")).select("word", "key")
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -41,15 +49,17 @@ def packed_index(index: DataFrame, part: int = 100_000) -> DataFrame:
     return sized.groupBy("word", number).agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("value"))
 
 
-def tf_idf(pages: DataFrame, text: str = "page") -> DataFrame:
+def tf_idf(pages: DataFrame, text: str = "page", total: int | None = None) -> DataFrame:
     """word, key, tf, idf, weight = ln(1 + tf * idf).
 
     tf = 0.4 + 0.6 * count / count of the page's commonest word; idf = ln(N / n) with N all crawled rows, also those
-    without a page, and n the pages of the word in the index. Only words that both tokenisers know remain.
+    without a page, and n the pages of the word in the index. Only words that both tokenisers know remain. `total` gives
+    N where `pages` are only those with a page.
     """
-    total = pages.agg(F.count("*")).first()[0]
+    if total is None:
+        total = pages.agg(F.count("*")).first()[0]
     # Cleaning a page is dearer than storing its text, and two branches read it.
-    rows = materialise(indexable(pages).select("key", "url", F.col(text).alias("page")), "texts")
+    rows = materialise(pages.where("url is not null").select("key", "url", F.col(text).alias("page")), "texts")
     frequency = document_frequency(postings(rows))
     counts = rows.select("key", F.explode(term_tokens("page")).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
     # The words of one page: bounded by its length.
@@ -64,7 +74,8 @@ def combined_scores(pages: DataFrame, weights: DataFrame, ranks: DataFrame) -> D
 
     Pages without rank drop out, as do urls with "..." and rows without url or page.
     """
-    named = indexable(pages).where(~F.col("url").contains("...")).select("key", "url")
+    # Keys without a page have no weights.
+    named = pages.where("url is not null").where(~F.col("url").contains("...")).select("key", "url")
     ranked = named.join(ranks.where(F.col("rank").isNotNull() & ~F.isnan("rank")).select("key", "rank"), "key")
     scored = weights.join(ranked, "key")
     return scored.select("word", "url", harmonic_mean(F.col("weight"), F.log1p("rank")).alias("score"))

@@ -59,6 +59,18 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, key: str, name: str = "step") -> DataFrame:
+    """`materialise`, in as many buckets by `key` as shuffles have partitions: joins by it of two such tables need no shuffle."""
+    spark = df.sparkSession
+    table = f"tarnweave_{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/tarnweave/{table}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    back = spark.table(table)
+    back._tarnweave_path, back._tarnweave_table = path, table
+    return back
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table whose few files would leave cores idle, over all cores; one of more partitions is left as it lies."""
     cores = table.sparkSession.sparkContext.defaultParallelism
@@ -67,7 +79,9 @@ def spread(table: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete what `materialise` wrote; `df` can't be read afterwards."""
-    path = getattr(df, "_tarnweave_path", None)
+    path, table = getattr(df, "_tarnweave_path", None), getattr(df, "_tarnweave_table", None)
+    if table:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if path:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
