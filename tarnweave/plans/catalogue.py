@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,14 @@ from tarnweave.functions import text as T
 from tarnweave.functions import urls as U
 from tarnweave.functions.hashing import encode_key_column, hash_key
 from tarnweave.functions.similarity import complete, jaro_winkler_column, suggest
-from tarnweave.operators.flow import Flow, PairFlow
+from tarnweave.operators.flow import Dropped, Flow, Job, PairFlow
 from tarnweave.plans import crawl as C
 from tarnweave.plans import index as I
 from tarnweave.plans import rank as R
 from tarnweave.plans import search as S
-from tarnweave.session import spread
+from tarnweave.session import scratch_root, spread
 from tarnweave.sources.packed import latest_scores, unpack
-from tarnweave.sources.tables import latest_rows, page_of
+from tarnweave.sources.tables import TableStore, latest_rows, page_of, read_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,35 +59,69 @@ def parallelize(spark, folder):
     return Flow.parallelize(spark, ["a", "a", "b"]).df
 
 
-@query("SELECT c_name, c_custkey FROM customer WHERE c_name >= 'Customer#000000050' AND c_name < 'Customer#000000150'")
+def _store(spark: SparkSession) -> TableStore:
+    """An empty store in the shared folder."""
+    return TableStore(spark, f"{scratch_root(spark).rstrip('/')}/tarnweave/store-{uuid.uuid4().hex}")
+
+
+def _customers(spark: SparkSession, folder: str) -> TableStore:
+    store = _store(spark)
+    store.put_rows("customer", read(spark, folder, "customer").select(F.col("c_name").alias("key"), "c_custkey", "c_mktsegment", "c_nationkey"))
+    return store
+
+
+_CUSTOMER_42 = "Customer#000000042"
+
+
+@query("SELECT c_name, c_custkey::VARCHAR AS c_custkey FROM customer WHERE c_name >= 'Customer#000000050' AND c_name < 'Customer#000000150'")
 def scan_range(spark, folder):
-    """IO-3: a half-open range of keys, pushed to the scan."""
-    return read(spark, folder, "customer").where("c_name >= 'Customer#000000050' AND c_name < 'Customer#000000150'").select("c_name", "c_custkey")
+    """IO-3, IO-9: rows of a store in a half-open range of keys."""
+    rows = _customers(spark, folder).scan("customer", "Customer#000000050", "Customer#000000150")
+    return rows.select(F.col("key").alias("c_name"), F.col("columns")["c_custkey"].alias("c_custkey"))
 
 
-@query("SELECT * FROM customer WHERE c_custkey = 42")
+@query(f"SELECT c_custkey::VARCHAR AS c_custkey, c_mktsegment, c_nationkey::VARCHAR AS c_nationkey FROM customer WHERE c_name = '{_CUSTOMER_42}'")
 def get_row(spark, folder):
     """IO-4."""
-    return read(spark, folder, "customer").where("c_custkey = 42")
+    row = _customers(spark, folder).get_row("customer", _CUSTOMER_42) or {}
+    return spark.createDataFrame([tuple(row.get(c) for c in ("c_custkey", "c_mktsegment", "c_nationkey"))], "c_custkey string, c_mktsegment string, c_nationkey string")
 
 
-@query("SELECT c_mktsegment FROM customer WHERE c_custkey = 42")
+@query(f"SELECT c_mktsegment FROM customer WHERE c_name = '{_CUSTOMER_42}'")
 def get_cell(spark, folder):
     """IO-5."""
-    return read(spark, folder, "customer").where("c_custkey = 42").select("c_mktsegment")
+    return spark.createDataFrame([(_customers(spark, folder).get("customer", _CUSTOMER_42, "c_mktsegment"),)], "c_mktsegment string")
 
 
-@query("SELECT count(*) > 0 AS found FROM customer WHERE c_custkey = 42")
+@query(f"SELECT k AS key, k IN (SELECT c_name FROM customer) AS found FROM (VALUES ('{_CUSTOMER_42}'), ('nobody')) AS t(k)")
 def exists_row(spark, folder):
     """IO-6."""
-    return read(spark, folder, "customer").where("c_custkey = 42").agg((F.count("*") > 0).alias("found"))
+    store = _customers(spark, folder)
+    return spark.createDataFrame([(k, store.exists_row("customer", k)) for k in (_CUSTOMER_42, "nobody")], "key string, found boolean")
 
 
-@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+@query("SELECT user_id::VARCHAR AS key, event_type AS name, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY ALL")
 def put_merge(spark, folder):
-    """IO-7: cells are merged, the last put of each (row, column) holds."""
-    events = read(spark, folder, "events")
-    return events.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    """IO-7, IO-10: cells are merged in two writes and folded; the last put of each (row, column) holds."""
+    events = read(spark, folder, "events").where("event_type is not null and value is not null")
+    last = latest_rows(events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("name"), "ts", "event_id", "value"), ["key", "name"], ["ts", "event_id"])
+    first = latest_rows(events.where("event_type = 'click'").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("name"), (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("late"), "event_id", "value"), ["key", "name"], ["late", "event_id"])
+    store = _store(spark)
+    store.put_many("events", first.select("key", "name", F.col("value").cast("string").alias("value")))
+    store.put_many("events", last.select("key", "name", F.col("value").cast("string").alias("value")))
+    store.compact("events")
+    return store.cells("events").select("key", "name", F.col("value").cast("double").alias("value"))
+
+
+@query("SELECT 'people' AS name, count(*)::BIGINT AS rows FROM customer UNION ALL SELECT 'suppliers', count(*) FROM supplier")
+def store_tables(spark, folder):
+    """IO-11 to IO-15: counts of a store's tables after one was renamed and one deleted."""
+    store = _customers(spark, folder)
+    for name in ("suppliers", "gone"):
+        store.put_rows(name, read(spark, folder, "supplier").select(F.col("s_name").alias("key"), "s_suppkey"))
+    store.rename("customer", "people")
+    store.delete("gone")
+    return spark.createDataFrame(store.counts(), "name string, rows bigint")
 
 
 @query("SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -107,11 +142,46 @@ def table_view_page(spark, folder):
     return page_of(read(spark, folder, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey", 100)
 
 
-@query("SELECT n_regionkey::VARCHAR AS key, list_sort(list(n_name))[1] AS first_name, count(*) AS n_values FROM nation GROUP BY 1")
+@query("SELECT c_name AS key, c_nationkey::VARCHAR AS c_nationkey, (SELECT c_name FROM customer ORDER BY 1 LIMIT 1 OFFSET 14) AS following FROM customer ORDER BY 1 LIMIT 10 OFFSET 4")
+def store_view(spark, folder):
+    """IO-16: a page of a store's table from a key on, and the key that the next page begins with."""
+    store = _customers(spark, folder)
+    first = sorted(r["key"] for r in store.scan("customer", None, "Customer#000000100").select("key").collect())[4]
+    rows, following = store.view("customer", first)
+    return spark.createDataFrame([(r["key"], r["c_nationkey"], following) for r in rows], "key string, c_nationkey string, following string")
+
+
+@query("SELECT n_regionkey::VARCHAR AS key, array_to_string(list_sort(list(n_name)), '|') AS names FROM nation GROUP BY 1")
 def save_pairs(spark, folder):
-    """IO-19: a row for each key with its values."""
-    values = F.sort_array(F.collect_list("value"))
-    return _pairs(read(spark, folder, "nation"), "n_regionkey", "n_name").df.groupBy("key").agg(values[0].alias("first_name"), F.size(values).cast("bigint").alias("n_values"))
+    """IO-18, IO-19: a row for each key with all its values, read back from the table it was saved as."""
+    name = f"pairs_{uuid.uuid4().hex}"
+    _pairs(read(spark, folder, "nation"), "n_regionkey", "n_name").save_as_table(name, f"{scratch_root(spark).rstrip('/')}/tarnweave/{name}")
+    return spark.table(name).select("key", F.array_join("values", "|").alias("names"))
+
+
+@query("SELECT 'a|b' AS collected, 25::BIGINT AS n, 'The job did not invoke output()' AS silent, 'xy' AS said, true AS dropped")
+def flow_lifetime(spark, folder):
+    """IO-20 to IO-22, R-13, P-6: collect, destroy and output, and a flow by the name of its view."""
+    names = Flow(read(spark, folder, "nation").select("n_name"))
+    n = spark.table(names.table_name()).count()
+    few = _pairs(spark.createDataFrame([("a", "b")], "k string, v string"), "k", "v")
+    collected = "|".join(few.collect()[0])
+    names.destroy()
+    try:
+        names.count()
+        dropped = False
+    except Dropped:
+        dropped = True
+    said = Job(spark).run(lambda job, args: [job.output(x) for x in args], ["x", "y"])
+    return spark.createDataFrame([(collected, n, Job(spark).run(lambda job, args: None), said, dropped)], "collected string, n bigint, silent string, said string, dropped boolean")
+
+
+@query("SELECT trim(c_mktsegment) AS value FROM customer WHERE trim(c_mktsegment) <> ''")
+def line_files(spark, folder):
+    """IO-23: the lines of text files."""
+    path = f"{scratch_root(spark).rstrip('/')}/tarnweave/lines-{uuid.uuid4().hex}"
+    read(spark, folder, "customer").select(F.concat(F.lit("  "), "c_mktsegment", F.lit("\n "))).write.text(path)
+    return read_lines(spark, path)
 
 
 _ENCODED = "url"
@@ -132,7 +202,7 @@ def encoded_keys(spark, folder):
 @query("SELECT count(*) AS n FROM lineitem")
 def count(spark, folder):
     """R-1."""
-    return read(spark, folder, "lineitem").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(Flow(read(spark, folder, "lineitem").select("l_orderkey")).count(),)], "n bigint")
 
 
 @query("SELECT DISTINCT l_returnflag || l_linestatus AS value FROM lineitem")
@@ -141,22 +211,28 @@ def distinct(spark, folder):
     return Flow(read(spark, folder, "lineitem").select(F.concat("l_returnflag", "l_linestatus"))).distinct().df
 
 
-@query("SELECT p_name AS value FROM part ORDER BY p_partkey LIMIT 7")
+@query("SELECT 7::BIGINT AS taken, 7::BIGINT AS of_parts, (SELECT count(*) FROM region) AS most")
 def take(spark, folder):
-    """R-3."""
-    return read(spark, folder, "part").orderBy("p_partkey").limit(7).select(F.col("p_name").alias("value"))
+    """R-3: so many values of a flow, or all it has."""
+    parts = read(spark, folder, "part")
+    some = Flow(parts.select("p_partkey")).take(7)
+    known = parts.where(F.col("p_partkey").cast("string").isin(*some)).count()
+    return spark.createDataFrame([(len(some), known, len(Flow(read(spark, folder, "region").select("r_name")).take(99)))], "taken bigint, of_parts bigint, most bigint")
 
 
-@query("SELECT sum(l_quantity) AS total FROM lineitem")
+@query("SELECT sum(l_linenumber)::BIGINT AS total, max(l_returnflag) AS last FROM lineitem")
 def fold(spark, folder):
-    """R-4: a fold that is a sum; other associative functions go through Flow.fold."""
-    return read(spark, folder, "lineitem").agg(F.sum("l_quantity").alias("total"))
+    """R-4: folds by plain functions."""
+    lines = read(spark, folder, "lineitem")
+    total = Flow(lines.select("l_linenumber")).fold("0", lambda a, b: str(int(a) + int(b)))
+    return spark.createDataFrame([(int(total), Flow(lines.select("l_returnflag")).fold("", max))], "total bigint, last string")
 
 
-@query("SELECT string_agg(n_name, '' ORDER BY n_name) AS value FROM nation")
+@query("SELECT string_agg(n_name, ',' ORDER BY n_name) AS value FROM nation")
 def fold_concat(spark, folder):
-    """R-4: an ordered concatenation."""
-    return read(spark, folder, "nation").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "").alias("value"))
+    """R-4: a concatenation, in order whatever the order of the values."""
+    value = Flow(read(spark, folder, "nation").select("n_name")).fold("", lambda a, b: ",".join(sorted(x for x in [*a.split(","), *b.split(",")] if x)))
+    return spark.createDataFrame([(value,)], "value string")
 
 
 @query("SELECT word AS value, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL) WHERE word <> '' GROUP BY 1")
@@ -179,10 +255,11 @@ def flat_map_to_pair(spark, folder):
     return packed.flat_map_to_pair(pairs).df.groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_mktsegment AS key, c_custkey::VARCHAR AS value FROM customer WHERE c_acctbal > 0")
+@query("SELECT c_mktsegment AS key, c_custkey::VARCHAR AS value FROM customer WHERE c_mktsegment IS NOT NULL")
 def map_to_pair(spark, folder):
     """R-7."""
-    return _pairs(read(spark, folder, "customer").where("c_acctbal > 0"), "c_mktsegment", "c_custkey").df
+    packed = Flow(read(spark, folder, "customer").select(F.concat("c_mktsegment", F.lit("|"), F.col("c_custkey").cast("string"))))
+    return packed.map_to_pair(lambda v: F.substring_index(v, "|", 1), lambda v: F.substring_index(v, "|", -1)).df
 
 
 @query("SELECT c_nationkey::VARCHAR AS value FROM customer INTERSECT SELECT s_nationkey::VARCHAR FROM supplier")
@@ -198,16 +275,16 @@ def sample_by_hash(spark, folder):
     return Flow(read(spark, folder, "orders").select("o_orderkey")).sample_by_hash(0.1).df
 
 
-@query("SELECT n_regionkey::VARCHAR AS key, string_agg(n_name, ',' ORDER BY n_name) AS value FROM nation GROUP BY 1")
+@query("SELECT left(n_name, 1) AS key, string_agg(n_name, ',' ORDER BY n_name) AS value FROM nation GROUP BY 1")
 def group_by(spark, folder):
     """R-10: members with commas between."""
-    return _pairs(read(spark, folder, "nation"), "n_regionkey", "n_name").join_values(",").df
+    return Flow(read(spark, folder, "nation").select("n_name")).group_by(lambda v: F.left(v, F.lit(1))).df
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND value > 50")
+@query("SELECT event_type || ' ' || event_id AS value FROM events WHERE event_type = 'click'")
 def filter_rows(spark, folder):
     """R-11."""
-    return read(spark, folder, "events").where("event_type = 'click' AND value > 50").select("event_id", "event_type")
+    return Flow(read(spark, folder, "events").select(F.concat_ws(" ", "event_type", "event_id"))).filter(lambda v: v.startswith("click ")).df
 
 
 @query("SELECT upper(p_brand) || '!' AS value FROM part")
@@ -216,10 +293,11 @@ def map_partitions(spark, folder):
     return Flow(read(spark, folder, "part").select("p_brand")).map_partitions(lambda values: (v.upper() + "!" for v in values)).df
 
 
-@query("SELECT l_suppkey AS key, sum(l_quantity) AS value FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey::VARCHAR AS key, sum(l_quantity)::DOUBLE AS value FROM lineitem GROUP BY 1")
 def fold_by_key_sum(spark, folder):
     """P-1."""
-    return read(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.sum("l_quantity").alias("value"))
+    sums = _pairs(read(spark, folder, "lineitem"), "l_suppkey", "l_quantity").fold_by_key(lambda v: F.sum(v.cast("double")))
+    return sums.df.select("key", F.col("value").cast("double").alias("value"))
 
 
 @query("SELECT s_nationkey::VARCHAR AS key, string_agg(s_name, ',' ORDER BY s_name) AS value FROM supplier GROUP BY 1")
@@ -248,11 +326,11 @@ def pair_join(spark, folder):
 
 
 @query(
-    "SELECT key, '[' || coalesce(string_agg(value, ',' ORDER BY value) FILTER (side = 0), '') || '],[' || coalesce(string_agg(value, ',' ORDER BY value) FILTER (side = 1), '') || ']' AS value FROM (SELECT s_nationkey::VARCHAR AS key, s_name AS value, 0 AS side FROM supplier UNION ALL SELECT c_nationkey::VARCHAR, c_name, 1 FROM customer WHERE c_acctbal < 0) GROUP BY 1"
+    "SELECT key, '[' || coalesce(string_agg(value, ',' ORDER BY value) FILTER (side = 0), '') || '],[' || coalesce(string_agg(value, ',' ORDER BY value) FILTER (side = 1), '') || ']' AS value FROM (SELECT s_nationkey::VARCHAR AS key, s_name AS value, 0 AS side FROM supplier UNION ALL SELECT c_nationkey::VARCHAR, c_name, 1 FROM customer) GROUP BY 1"
 )
 def cogroup(spark, folder):
     """P-5: keys of either side."""
-    customers = read(spark, folder, "customer").where("c_acctbal < 0")
+    customers = read(spark, folder, "customer")
     return _pairs(read(spark, folder, "supplier"), "s_nationkey", "s_name").cogroup(_pairs(customers, "c_nationkey", "c_name")).df
 
 
@@ -298,12 +376,20 @@ def page_description(spark, folder):
     return read(spark, folder, "crawl").where("page is not null").select("fetch_id", T.page_description(html).alias("description"))
 
 
-@query(
-    r"""SELECT fetch_id, link, count(*) AS n FROM (SELECT fetch_id, unnest(list_transform(regexp_extract_all(page, '(?i)(<a(?:\s+\w+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))+\s*/?>)', 1), lambda t: trim(regexp_extract(t, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(t, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(t, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)))) AS link FROM crawl WHERE page IS NOT NULL) WHERE link <> '' GROUP BY ALL"""
-)
+#: Links by the contract: opening tags of anchors with plain attributes, then each attribute by itself.
+_LINKS = r"""(SELECT {keys}, regexp_replace(a[2], '^["'']|["'']$', '', 'g') AS link FROM (
+    SELECT {keys}, unnest(list_zip(regexp_extract_all(tag, '\s+(\w+)(?:\s*=\s*("[^"\n]*"|''[^''\n]*''|[^''">\s]+))?', 1), regexp_extract_all(tag, '\s+(\w+)(?:\s*=\s*("[^"\n]*"|''[^''\n]*''|[^''">\s]+))?', 2)), recursive := false) AS a
+    FROM (SELECT {keys}, unnest(regexp_extract_all(page, '(?i)<\s*a((?:\s+\w+(?:\s*=\s*(?:"[^"\n]*"|''[^''\n]*''|[^''">\s]+))?)*)\s*>', 1)) AS tag FROM {table}))
+  WHERE lower(a[1]) = 'href' AND trim(regexp_replace(a[2], '^["'']|["'']$', '', 'g')) <> '')"""
+#: Links that no page of the crawl has: attributes without value, blanks behind the bracket, several hrefs, odd names.
+_ODD = "<a download href=/one>x</a> < A  HREF=''/two'' title=\"t\"> <a data-x=1 href=/no> <a href=/three href=\"/four\" > <a href=\"\"> <a href=/five/>"
+
+
+@query(f"""SELECT fetch_id, link, count(*) AS n FROM {_LINKS.format(keys="fetch_id", table="(SELECT fetch_id, page || '" + _ODD + "' AS page FROM crawl WHERE page IS NOT NULL)")} GROUP BY ALL""")
 def page_links(spark, folder):
-    """T-2: links in the pages that hold HTML."""
-    links = read(spark, folder, "crawl").where("page is not null").select("fetch_id", F.explode(T.page_links("page")).alias("link"))
+    """T-2: links in the pages, to each of which some odd ones are added."""
+    html = F.concat("page", F.lit(_ODD.replace("''", "'")))
+    links = read(spark, folder, "crawl").where("page is not null").select("fetch_id", F.explode(T.page_links(html)).alias("link"))
     return links.groupBy("fetch_id", "link").agg(F.count("*").alias("n"))
 
 
@@ -315,16 +401,37 @@ def url_parse(spark, folder):
     return urls.select("url", *(part[k].alias(k) for k in ("protocol", "host", "port", "path")))
 
 
-@query(
-    r"""SELECT link, lower(regexp_extract(link, '^([a-zA-Z]+)://', 1)) || '://' || regexp_extract(link, '://([^/?#:]+)', 1) || ':' || coalesce(nullif(regexp_extract(link, '://[^/?#:]+:([0-9]+)', 1), ''), CASE WHEN link ILIKE 'https%' THEN '443' ELSE '80' END) || coalesce(nullif(regexp_extract(link, '://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(link, '(\?[^#]+)', 1) AS url
-    FROM (SELECT DISTINCT unnest(urls) AS link FROM crawl) WHERE link IS NOT NULL AND NOT regexp_matches(regexp_extract(link, '://[^/?#]+([^?#]*)', 1), '(?i)\.(jpg|jpeg|gif|png|txt)$')"""
-)
+_NORMAL = r"""CASE WHEN lower(regexp_extract({0}, '^([a-zA-Z]+)://', 1)) IN ('http', 'https') AND NOT regexp_matches({0}, '\s') AND regexp_extract({0}, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:@]+)', 1) <> '' AND NOT regexp_matches(regexp_extract({0}, '://[^/?#]+([^?#]*)', 1), '(?i)\.(jpg|jpeg|gif|png|txt)$')
+  THEN lower(regexp_extract({0}, '^([a-zA-Z]+)://', 1)) || '://' || regexp_extract({0}, '://([^/?#@]*@)', 1) || regexp_extract({0}, '://(?:[^/?#@]*@)?([^/?#:@]+)', 1) || ':' || coalesce(nullif(regexp_extract({0}, '://(?:[^/?#@]*@)?[^/?#:]+:([0-9]+)', 1), ''), CASE WHEN {0} ILIKE 'https%' THEN '443' ELSE '80' END) || coalesce(nullif(regexp_extract({0}, '://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract({0}, '(\?[^#]+)', 1) END"""
+#: The absolute form of a link that may be relative: by scheme, host, root, query, fragment, or folder, from which leading ../ go up.
+_ROOT, _FOLDER = r"regexp_extract({1}, '^([a-zA-Z]+://[^/?#]+)', 1)", r"regexp_extract(regexp_extract({1}, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '^(.*/)', 1)"
+_ABSOLUTE = rf"""CASE WHEN regexp_matches({{0}}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {{0}} WHEN {{0}} LIKE '//%' THEN regexp_extract({{1}}, '^([a-zA-Z]+:)', 1) || {{0}} WHEN {{0}} LIKE '/%' THEN {_ROOT} || {{0}}
+  WHEN {{0}} LIKE '?%' THEN regexp_extract({{1}}, '^([^?#]*)', 1) || {{0}} WHEN {{0}} LIKE '#%' THEN {{1}} WHEN {{0}} LIKE '../%' THEN {_ROOT} || coalesce(nullif(regexp_extract({_FOLDER}, '^(.*/)[^/]+/$', 1), ''), '/') || substr({{0}}, 4) ELSE {_ROOT} || {_FOLDER} || {{0}} END"""
+
+
+def _resolved(link: str, base: str) -> str:
+    return _NORMAL.format("(" + _ABSOLUTE.format(link, base) + ")")
+
+
+@query(f"SELECT link, {_NORMAL.format('link')} AS url FROM (SELECT DISTINCT replace(link, '://', CASE WHEN length(link) % 3 = 0 THEN '://user@' ELSE '://' END) AS link FROM (SELECT unnest(urls) AS link FROM crawl)) WHERE link IS NOT NULL AND {_NORMAL.format('link')} IS NOT NULL")
 def url_normalize(spark, folder):
-    """U-2, U-3: absolute links in their normal form."""
-    links = read(spark, folder, "crawl").select(F.explode("urls").alias("link")).where("link is not null").distinct()
+    """U-2, U-3: absolute links in their normal form; to a third of them a user is added."""
+    links = read(spark, folder, "crawl").select(F.explode("urls").alias("link")).where("link is not null")
+    links = links.select(F.when(F.length("link") % 3 == 0, F.replace("link", F.lit("://"), F.lit("://user@"))).otherwise(F.col("link")).alias("link")).distinct()
     return links.select("link", U.normalized_absolute("link").alias("url")).where("url is not null")
 
 
+_FORMS = ("next.html", "deep/er?q=1#f", "/abs?q=1", "//other.test/p", "../up/", "?a=b", "#top", "mailto:a@b.test", "pic.PNG", "ftp://f.test/", "HTTP://Shop.test", "http://u:p@h.test:8080#x", "two words")
+
+
+@query(f"SELECT base, link, {_resolved('link', 'base')} AS url FROM (SELECT DISTINCT url AS base FROM crawl WHERE url IS NOT NULL), (VALUES {', '.join(f'($${f}$$)' for f in _FORMS)}) AS forms(link)")
+def url_resolve(spark, folder):
+    """U-2, U-4: relative links against the url of their page; a given list of forms for every url, no join of rows."""
+    bases = read(spark, folder, "crawl").where("url is not null").select(F.col("url").alias("base")).distinct()
+    forms = bases.select("base", F.explode(F.array(*(F.lit(f) for f in _FORMS))).alias("link"))
+    return forms.select("base", "link", U.normalized("link", "base").alias("url"))
+
+
 @query(r"SELECT DISTINCT url FROM frontier WHERE url IS NOT NULL AND regexp_matches(url, '^[\x00-\x7F]*$') AND NOT regexp_matches(url, '(?i)\.(jpg|jpeg|gif|png|txt)$')")
 def url_filter(spark, folder):
     """U-3, U-6."""
@@ -341,15 +448,49 @@ def blacklist(spark, folder):
     return read(spark, folder, "crawl").where("url is not null").where(~U.is_blacklisted("url", _BLACKLIST)).select("url").distinct()
 
 
-@query()
+_AGENT, _NOW = "tarnweave-crawler", 1_718_000_000_000
+#: Rules of every host by the contract: a line's block is the last agent named before it, * at first; the block of the longest
+#: agent that is * or part of one's own name holds, with its first delay, and * is there always.
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[^:/]+://([^:/]*)', 1)), '^www\.', '')"
+_ROBOTS = rf"""hosts1 AS (SELECT key, arg_max(struct_pack(r := robots, l := lastaccessedms), (coalesce(lastaccessedms, -1), coalesce(robots, ''))) AS h FROM hosts WHERE key IS NOT NULL GROUP BY 1),
+  texts1 AS (SELECT key, h.l AS last, h.r AS robots FROM hosts1),
+  lines AS (SELECT key, i, lower(trim(split_part(line, ':', 1), chr(9) || ' ')) AS k, trim(substr(line, strpos(line, ':') + 1), chr(9) || ' ') AS v FROM (SELECT key, unnest(string_split_regex(robots, '[\r\n]')) AS line, generate_subscripts(string_split_regex(robots, '[\r\n]'), 1) AS i FROM texts1 WHERE robots IS NOT NULL) WHERE contains(line, ':')),
+  said AS (SELECT key, i, k, v, coalesce(last_value(CASE WHEN k = 'user-agent' THEN lower(v) END IGNORE NULLS) OVER (PARTITION BY key ORDER BY i), '*') AS agent FROM lines WHERE v <> ''),
+  mine AS (SELECT key, arg_max(agent, (length(agent), agent <> '*', agent)) AS agent FROM (SELECT key, agent FROM said WHERE agent = '*' OR contains('{_AGENT}', agent) UNION ALL SELECT key, '*' FROM texts1) GROUP BY 1),
+  delays AS (SELECT key, arg_min(TRY_CAST(v AS DOUBLE), i) AS delay FROM said JOIN mine USING (key, agent) WHERE k = 'crawl-delay' AND TRY_CAST(v AS DOUBLE) IS NOT NULL GROUP BY 1),
+  rules AS (SELECT key, i, k, v FROM said JOIN mine USING (key, agent) WHERE k IN ('allow', 'disallow')),
+  asked AS (SELECT DISTINCT url, {_HASH.format(_HOST)} AS key, coalesce(nullif(regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM frontier WHERE url IS NOT NULL),
+  judged AS (SELECT url, CASE WHEN arg_min(k, i) = 'disallow' THEN 0 WHEN any_value(last) IS NOT NULL AND {_NOW} < any_value(last) + 1000 * coalesce(any_value(delay), 0) THEN 2 ELSE 1 END::INT AS decision
+    FROM asked LEFT JOIN texts1 USING (key) LEFT JOIN delays USING (key) LEFT JOIN rules ON rules.key = asked.key AND starts_with(path, v) GROUP BY url)"""
+
+
+@query(f"WITH {_ROBOTS} SELECT url, decision FROM judged")
 def robots_decision(spark, folder):
     """U-7, U-8, U-9: what the hosts' robots texts say of the frontier's urls."""
     urls = read(spark, folder, "frontier").where("url is not null").select("url").distinct()
-    keyed = urls.withColumn("key", hash_key(U.host_key_name("url"))).withColumn("path", U.url_parts("url")["path"])
+    path = F.regexp_replace(U.url_parts("url")["path"], r"[?#].*$", "")
+    keyed = urls.withColumn("key", hash_key(U.host_key_name("url"))).withColumn("path", path)
     hosts = read(spark, folder, "hosts").where("key is not null").groupBy("key").agg(F.max(F.struct("lastaccessedms", "robots")).alias("h"))
     known = keyed.join(hosts, "key", "left")
-    decide = U.robots_decisions("tarnweave-crawler")
-    return known.select("url", decide("h.robots", "path", F.lit(0).cast("bigint"), "h.lastaccessedms").alias("decision"))
+    decide = U.robots_decisions(_AGENT)
+    return known.select("url", decide("h.robots", "path", F.lit(_NOW).cast("bigint"), "h.lastaccessedms").alias("decision"))
+
+
+@query(
+    rf"""WITH {_ROBOTS}, front AS (SELECT url, min(coalesce(depth, 0)) AS depth FROM frontier WHERE url IS NOT NULL GROUP BY 1),
+    answers AS (SELECT url, max(struct_pack(c := coalesce(responsecode, 0), t := coalesce(contenttype, ''), n := coalesce(length, 0))) AS a FROM (SELECT url, responsecode, contenttype, CASE WHEN page IS NULL THEN length ELSE coalesce(length, length(page)) END AS length FROM crawl WHERE url IS NOT NULL) GROUP BY 1),
+    known AS (SELECT DISTINCT url FROM crawl WHERE responsecode >= 500)
+    SELECT url, depth::INT AS depth, CASE WHEN depth >= 3 THEN 'too deep' WHEN NOT regexp_matches(url, '^[\x00-\x7F]*$') THEN 'not ascii' WHEN url IN (SELECT url FROM known) THEN 'known' WHEN regexp_extract(url, '^[^:/]+://([^:/]*)', 1) = '' THEN 'no host'
+      WHEN regexp_full_match(url, '.*/index\.php.*|http://.*|.*\.invalid:443/life/.*') THEN 'blacklisted' WHEN decision = 0 THEN 'denied' WHEN decision = 2 THEN 'wait' WHEN a IS NULL THEN 'no answer' WHEN coalesce(a.n, 0) <= 0 THEN 'no length'
+      WHEN a.c IN (301, 302, 303, 307, 308) THEN 'redirect' WHEN coalesce(a.c, 0) <> 200 OR NOT contains(coalesce(a.t, ''), 'text/html') THEN 'no page' ELSE 'fetched' END AS outcome
+    FROM front JOIN judged USING (url) LEFT JOIN answers USING (url)"""
+)
+def crawl_outcomes(spark, folder):
+    """J-5, IO-24: what comes of each url of the frontier, by depth, robots, delay, status, type and length."""
+    crawl = read(spark, folder, "crawl").where("url is not null")
+    answers = crawl.select("url", "responsecode", "contenttype", F.when(F.col("page").isNull(), F.col("length")).otherwise(F.coalesce("length", F.length("page").cast("bigint"))).alias("length"))
+    found = C.outcomes(read(spark, folder, "frontier"), crawl.where("responsecode >= 500"), read(spark, folder, "hosts"), answers, _NOW, _AGENT, _BLACKLIST)
+    return found.select("url", "depth", "outcome")
 
 
 # Jobs
@@ -364,7 +505,12 @@ def _current(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return _current(spark, folder).withColumn("page", T.page_text("page"))
+    """key, url and the cleaned page of crawled keys that have both; raw pages are tested, so each is cleaned once."""
+    return I.indexable(I.current_pages(read(spark, folder, "crawl"), ("url", "page"))).withColumn("page", T.page_text("page"))
+
+
+def _crawled(spark: SparkSession, folder: str) -> int:
+    return read(spark, folder, "crawl").where("key is not null").select("key").distinct().count()
 
 
 @query(f"WITH {_INDEX} SELECT word, count(*) AS documents FROM idx GROUP BY 1")
@@ -389,7 +535,7 @@ _TFIDF = f"""{_INDEX},
 @query(f"WITH {_TFIDF} SELECT word, key, round(weight, 6) + 0.0 AS weight FROM weights")
 def tf_idf(spark, folder):
     """J-3."""
-    return I.tf_idf(_texts(spark, folder)).select("word", "key", (F.round("weight", 6) + 0.0).alias("weight"))
+    return I.tf_idf(_texts(spark, folder), total=_crawled(spark, folder)).select("word", "key", (F.round("weight", 6) + 0.0).alias("weight"))
 
 
 _RANKS = "latest AS (SELECT key, rank FROM pageranks WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY saved_at DESC NULLS LAST, rank DESC NULLS LAST) = 1)"
@@ -400,8 +546,9 @@ _RANKS = "latest AS (SELECT key, rank FROM pageranks WHERE key IS NOT NULL QUALI
 )
 def combined_scores(spark, folder):
     """J-4."""
-    texts = _texts(spark, folder)
-    found = I.combined_scores(texts, I.tf_idf(texts), I.latest_ranks(read(spark, folder, "pageranks")))
+    # The second read is of keys and urls alone.
+    urls = I.current_pages(read(spark, folder, "crawl"), ("url",))
+    found = I.combined_scores(urls, I.tf_idf(_texts(spark, folder), total=_crawled(spark, folder)), I.latest_ranks(read(spark, folder, "pageranks")))
     return found.select("word", "url", (F.round("score", 6) + 0.0).alias("score"))
 
 
@@ -443,11 +590,19 @@ def crawl_frontier_step(spark, folder):
     return C.next_frontier(read(spark, folder, "frontier"), links, crawl.select("url").where("url is not null"))
 
 
-@query(f"SELECT url, {_HASH.format('url')} AS key, regexp_extract(page, '(?s)<title>(.*?)</title>', 1) AS title, {_page_sql('page')} AS page FROM crawl WHERE page IS NOT NULL AND url IS NOT NULL GROUP BY ALL")
+_EXTRACTED = "(SELECT DISTINCT url, page FROM crawl WHERE page IS NOT NULL AND url IS NOT NULL)"
+
+
+@query(
+    rf"""WITH one AS (SELECT url, page, {_VISIBLE.format("page")} AS v FROM {_EXTRACTED}), links AS (SELECT url, {_resolved("link", "url")} AS target FROM {_LINKS.format(keys="url", table=_EXTRACTED)}),
+    urls AS (SELECT url, string_agg(DISTINCT target, ' ' ORDER BY target) AS urls FROM links WHERE target IS NOT NULL GROUP BY 1)
+    SELECT DISTINCT url, {_HASH.format("url")} AS key, regexp_extract(page, '(?s)<title>(.*?)</title>', 1) AS title, coalesce(nullif(regexp_extract(page, '(?s)<meta name="description" content="(.*?)"', 1), ''), CASE WHEN contains(left(v, 50), 'wikipedia') THEN left(v, strpos(v, 'wikipedia') + 8) ELSE left(v, 50) END) AS description,
+      {_page_sql("page")} AS page, urls FROM one LEFT JOIN urls USING (url)"""
+)
 def page_extraction(spark, folder):
     """C-1: extraction from stored pages."""
     pages = read(spark, folder, "crawl").where("page is not null and url is not null").select("url", "page").distinct()
-    return C.extract(pages, html="page").select("url", "key", "title", "page").distinct()
+    return C.extract(pages, html="page").select("url", "key", "title", "description", "page", F.array_join("urls", " ").alias("urls")).distinct()
 
 
 # Serving
@@ -498,13 +653,26 @@ def autocomplete(spark, folder):
     return complete(read(spark, folder, "combinedscores"), "Ha")
 
 
-@query()
+#: Likeness of pairs (a, b): letters of a are matched one after the other with the first free like letter of b within reach;
+#: crossed ones count half; the whole common prefix raises it, by 0.1 or 1 / len(a) a letter; nothing matches in words of one letter.
+_LIKENESS = """matching AS (
+    SELECT a, b, greatest(length(a), length(b)) // 2 - 1 AS reach, 1 AS i, []::BIGINT[] AS taken, '' AS hits FROM pairs
+    UNION ALL SELECT a, b, reach, i + 1, CASE WHEN j IS NULL THEN taken ELSE list_append(taken, j) END, CASE WHEN j IS NULL THEN hits ELSE hits || a[i] END
+    FROM (SELECT *, list_min(list_filter(range(greatest(1, i - reach), least(length(b), i + reach) + 1), lambda x: NOT list_contains(taken, x) AND b[x] = a[i])) AS j FROM matching WHERE i <= length(a))),
+  jaro AS (SELECT a, b, CASE WHEN m = 0 THEN 0 ELSE (m / length(a) + m / length(b) + (m - len(list_filter(range(1, m + 1), lambda k: hits[k] <> b[places[k]])) / 2) / m) / 3 END AS s
+    FROM (SELECT a, b, hits, len(taken) AS m, list_sort(taken) AS places FROM matching WHERE i = length(a) + 1)),
+  likeness AS (SELECT a, b, s + CASE WHEN s = 0 THEN 0 ELSE least(0.1, 1 / length(a)) * len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))) * (1 - s) END AS l FROM jaro)"""
+_KNOWN = "known AS (SELECT DISTINCT word FROM combinedscores WHERE word IS NOT NULL)"
+_MISSPELT = ("harbor", "lantren", "glacer")
+
+
+@query(f"WITH RECURSIVE {_KNOWN}, pairs AS (SELECT a, word AS b FROM (SELECT unnest([{', '.join(repr(w) for w in _MISSPELT)}]) AS a), known), {_LIKENESS} SELECT a AS word, arg_min(b, (-round(l, 12), b)) AS suggestion, round(max(l), 9) AS likeness FROM likeness GROUP BY 1")
 def suggestions(spark, folder):
     """Q-4, S-3: the likest known words of misspelt ones."""
-    return suggest(read(spark, folder, "combinedscores"), ["harbor", "lantren", "glacer"])
+    return suggest(read(spark, folder, "combinedscores"), list(_MISSPELT)).withColumn("likeness", F.round("likeness", 9))
 
 
-@query()
+@query(f"WITH RECURSIVE {_KNOWN}, pairs AS (SELECT word AS a, 'harbour' AS b FROM known), {_LIKENESS} SELECT a AS word, round(l, 9) AS likeness FROM likeness")
 def jaro_winkler(spark, folder):
     """S-2: likeness of all known words to one."""
     words = read(spark, folder, "combinedscores").where("word is not null").select("word").distinct()

@@ -273,3 +273,58 @@ def test_stream_ingest(spark, tmp_path):
 @given(st.lists(st.sampled_from("abc"), max_size=6))
 def test_hash_is_a_function(values):
     assert len({hashing.hash_text(v) for v in values}) == len(set(values))
+
+
+def test_robots_blocks():
+    text = "Disallow: /all\nUser-agent: tarn\nUser-agent: other\nDisallow: /other # not here\nCrawl-delay: x\nCrawl-delay: 2\nCrawl-delay: 9"
+    assert urls.parse_robots(text)["tarn"].rules == [] and urls.parse_robots(text)["other"].rules == [(False, "/other # not here")]
+    assert urls.parse_robots(text)["other"].delay == 2.0 and urls.parse_robots(text)["*"].rules == [(False, "/all")]
+    assert urls.parse_robots(text, strict=False)["tarn"].rules == [(False, "/other")]
+    assert urls.robots_decision(text, "/all/x", "tarnweave", 0, None) == urls.ALLOWED
+    assert urls.robots_decision(text, "/all/x", "nobody", 0, None) == urls.DENIED
+    assert [urls.robots_decision("", "/", "x", now, 5) for now in (4, 5)] == [urls.WAIT, urls.ALLOWED]
+
+
+def test_users_of_urls_are_kept():
+    assert urls.normalize_url("HTTPS://me:pw@Shop.test/a?b#c") == "https://me:pw@Shop.test:443/a?b"
+    assert urls.normalize_url("//x@y.test", "http://a.test/") == "http://x@y.test:80/"
+    assert urls.normalize_url(" /x", "http://a.test/") is None
+
+
+def test_links_with_attributes_of_all_kinds(spark):
+    page = "<a download href='/a'><a href=/b rel=x>< a\n href = \"/c\" HREF=/d><a data-x=1 href=/no><a href><a href=''><abbr href=/no>"
+    df = spark.createDataFrame([(page,), (None,), ("",)], "page string")
+    assert [r[0] for r in df.select(text.page_links("page")).collect()] == [["/a", "/b", "/c", "/d"], None, []]
+
+
+def test_outcomes(spark):
+    base = "https://a.test:443/"
+    front = [("deep", 3), ("ä", 0), ("seen", 0), ("bad", 1), ("no/x", 1), ("silent", 0), ("empty", 0), ("french", 0), ("moved", 0), ("pdf", 0), ("page", None), ("page", 2), ("gone", 0)]
+    frontier = spark.createDataFrame([(base + u, d) for u, d in front] + [("nothing", 0), (None, 0), ("https://slow.test:443/", 0)], "url string, depth int")
+    said = [("empty", 200, "text/html", 0, None, None), ("french", 200, "text/html", 9, "fr", None), ("moved", 301, "text/html", 9, None, "/new"), ("pdf", 200, "application/pdf", 9, "en", None), ("page", 200, "text/html; charset=x", 9, "de, en", None), ("gone", 404, "text/html", 9, None, None)]
+    answers = spark.createDataFrame([(base + u, *r) for u, *r in said], "url string, responsecode int, contenttype string, length bigint, language string, location string")
+    hosts = spark.createDataFrame([(hashing.hash_text("a.test"), "Disallow: /no", None), (hashing.hash_text("slow.test"), "Crawl-delay: 5", 1000)], "key string, robots string, lastaccessedms bigint")
+    known = spark.createDataFrame([(base + "seen",)], "url string")
+    got = {r["url"].removeprefix(base): (r["outcome"], r["location"]) for r in crawl.outcomes(frontier, known, hosts, answers, 5999, "tarnweave", ("*/bad",)).collect()}
+    assert got.pop("moved") == ("redirect", base + "new") and all(v[1] is None for v in got.values())
+    assert {k: v[0] for k, v in got.items()} == {"deep": "too deep", "ä": "not ascii", "seen": "known", "bad": "blacklisted", "no/x": "denied", "silent": "no answer", "empty": "no length", "french": "other language", "pdf": "no page", "page": "fetched", "gone": "no page", "nothing": "no host", "https://slow.test:443/": "wait"}
+    assert crawl.outcomes(frontier.where("false"), known, hosts, answers, 0, "x").count() == 0
+
+
+def test_writes_during_a_fold_stay(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/store")
+    store.put("t", "k", "a", "1")
+    log = store._cells
+
+    def late(df):
+        store._cells = log
+        store.put("t", "k", "a", "2")
+        return log(df)
+
+    store._cells = late
+    store.compact("t")
+    assert store.get("t", "k", "a") == "2" and len(store._live("t")) == 2
+    store.compact("t")
+    assert store.get("t", "k", "a") == "2" and len(store._live("t")) == 1
+    TableStore(spark, f"file://{tmp_path}/store").put("t", "k", "a", "3")
+    assert store.get("t", "k", "a") == "3"
