@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnweave.llm.common import behind_host, table, with_small
+from tarnweave.llm.common import behind_host, table
 from tarnweave.session import materialise
 
 TERM = "[a-z0-9]+"

@@ -61,9 +61,8 @@ def with_shares(pages: DataFrame, group: str, document: str, page: str, least: i
     shares = lines.join(sizes.where(F.col("size") >= least), "g").select("g", "a", (F.col("documents") / F.col("size")).cast("float").alias("share")).where(F.col("share") >= share)
     # Of lines that share their 64 bits, which next to never happens, the larger share counts.
     found = materialise(shares.groupBy("g", "a").agg(F.max("share").alias("share")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("a", "share"))).alias("known")), "shares")
-    size = found.agg(F.count("*").alias("n"), F.sum(F.size("known")).alias("lines")).first()
     found = found.select(F.col("g").alias("_site"), F.col("known").alias("_known"))
-    joined = with_small(pages.withColumn("_site", F.xxhash64(group)), found, ["_site"], size["n"] + (size["lines"] or 0), 40, "left")
+    joined = with_small(pages.withColumn("_site", F.xxhash64(group)), found, ["_site"], "left")
     of_line = F.transform(line_keys(page), lambda k: F.when(F.length(k) >= LEAST_LETTERS, F.coalesce(F.try_element_at(F.col("_known"), F.xxhash64(k)), F.lit(0.0).cast("float"))).otherwise(F.lit(0.0).cast("float")))
     none = F.array().cast("array<float>")
     return joined.withColumn("_shares", F.coalesce(F.when(F.col("_known").isNotNull(), of_line), none)).drop("_site", "_known")
@@ -72,9 +71,8 @@ def with_shares(pages: DataFrame, group: str, document: str, page: str, least: i
 def with_repeated(pages: DataFrame, group: str, document: str, page: str, **rule) -> DataFrame:
     """The pages with column _numbers: the numbers of their lines, from 1, that `repeated_lines` finds in their group."""
     found = materialise(repeated_lines(pages, group, document, page, **rule), "repeated")
-    size = found.agg(F.count("*").alias("n"), F.sum(F.size("lines")).alias("lines")).first()
     found = found.select(F.col("g").alias("_site"), F.col("lines").alias("_lines"))
-    joined = with_small(pages.withColumn("_site", F.xxhash64(group)), found, ["_site"], size["n"] + (size["lines"] or 0), 40, "left")
+    joined = with_small(pages.withColumn("_site", F.xxhash64(group)), found, ["_site"], "left")
     numbered = F.transform(line_keys(page), lambda k, i: F.struct((i + 1).alias("n"), k.alias("k")))
     at = F.filter(numbered, lambda x: (F.length(x["k"]) >= LEAST_LETTERS) & F.array_contains(F.col("_lines"), hashed(x["k"])))
     at = F.when(F.col(group).isNotNull() & F.col("_lines").isNotNull() & F.col(page).isNotNull(), F.transform(at, lambda x: x["n"]))

@@ -57,8 +57,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, id: str, n: int | str
     on = ["g"]
     stats = base.groupBy(*on).agg(F.coalesce(F.max("n"), F.lit(0)).alias("need"), F.count("*").alias("count"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     state = materialise(stats, "state")
-    groups = state.count()
-    small = with_small(base, state.where("need > 0"), on, groups)
+    small = with_small(base, state.where("need > 0"), on)
     taken = [small.where("count <= need").select(*on, "i", "s")]
     open_ = small.where("count > need").select(*on, "i", "s", "c", F.lit(0).alias("level"), F.lit(0).alias("skip"), "lo", "hi", "need")
     level, lo, hi = (F.col(k) for k in ("level", "lo", "hi"))
@@ -85,7 +84,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, id: str, n: int | str
         seen = decided.agg(F.count("*").alias("groups"), F.max(going).alias("more"), F.max(going & (F.col("then") == 2)).alias("deep"), F.max(going & F.col("fresh")).alias("fresh")).first()
         if not seen["groups"]:
             break
-        step = with_small(cut, decided, on, seen["groups"]).where(F.col("part") <= F.col("edge"))
+        step = with_small(cut, decided, on).where(F.col("part") <= F.col("edge"))
         step = step.select(*on, "i", "s", "c", ((F.col("part") < F.col("edge")) | F.col("whole")).alias("in"), F.col("then").alias("level"), "skip", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), F.col("left").alias("need"), "fresh")
         step = materialise(step, "cut")
         taken.append(step.where("in").select(*on, "i", "s"))
@@ -97,7 +96,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, id: str, n: int | str
             ends = open_.where("fresh").groupBy(*on).agg(F.min("i").alias("imin"), F.max("i").alias("imax"))
             ends = ends.select(*on, "imin", "imax", _common(F.col("imin"), F.col("imax")).alias("new_skip"))
             ends = materialise(ends.select(*on, "new_skip", _letters(F.col("imax"), F.col("new_skip")).alias("id_lo"), _letters(F.col("imin"), F.col("new_skip")).alias("id_hi")), "ends")
-            joined = with_small(open_, ends, on, ends.count(), how="left")
+            joined = with_small(open_, ends, on, "left")
             open_ = joined.select(*on, "i", "s", "c", "level", F.coalesce("new_skip", "skip").alias("skip"), F.coalesce("id_lo", "lo").alias("lo"), F.coalesce("id_hi", "hi").alias("hi"), "need")
         else:
             open_ = open_.drop("fresh")

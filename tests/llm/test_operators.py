@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,35 @@ def test_combined_ranking(spark):
     assert combine.combined_ranking(df.where("false"), "g", "i", {"s": 1, "r": 1}).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 3)), max_size=25), st.integers(1, 6))
+def test_positions_batch_by_batch(rows, size):
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([float(r[1]) for r in rows], pa.float64())], ["_g", "_v"])
+    batches = [whole.slice(k, size) for k in range(0, len(rows), size)]
+    got = [r for b in combine._positions(iter(batches)) for r in b.to_pylist()]
+    assert [(r["_g"], r["_v"]) for r in got] == rows
+    for r in got:
+        peers = [v for g, v in rows if g == r["_g"]]
+        assert (r["_below"], r["_equal"]) == (sum(v < r["_v"] for v in peers), peers.count(r["_v"]))
+        assert r["_edge"] == (r["_v"] in (min(peers), max(peers)))
+
+
+def test_first_component():
+    assert combine.first_component(np.array([[1, 0.4], [0.4, 1]])) == pytest.approx([math.sqrt(0.5)] * 2)
+    assert combine.first_component(np.eye(2)) == pytest.approx([math.sqrt(0.5)] * 2)
+    assert combine.first_component(np.array([[1, -0.4], [-0.4, 1]])) is None
+    three = np.array([[1, 0.9, 0.1], [0.9, 1, 0.2], [0.1, 0.2, 1]])
+    assert combine.first_component(three) == pytest.approx(np.abs(np.linalg.eigh(three)[1][:, -1]))
+
+
+def test_scores_that_contradict_each_other_weigh_alike(spark):
+    df = spark.createDataFrame([(float(k), -float(k), float(k)) for k in range(9)], "a double, b double, c double")
+    assert combine.principal_loadings(df, {"a": 1, "b": 1}) == pytest.approx({"a": math.sqrt(0.5), "b": math.sqrt(0.5)})
+    assert combine.principal_loadings(df, {"a": 1, "b": -1}) == pytest.approx({"a": math.sqrt(0.5), "b": -math.sqrt(0.5)})
+    assert combine.principal_loadings(df, {"a": 1, "b": 1, "c": 1}) == pytest.approx(dict.fromkeys("abc", 1 / math.sqrt(3)))
+
+
 def test_loadings(spark):
     rows = [(float(k), float(k) + (k % 3), -float(k), 1.0) for k in range(30)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
@@ -582,6 +612,17 @@ def test_mix(spark):
     assert empty.count() == 0 and nothing.count() == 3
 
 
+def test_a_long_document_leaves_the_rest_to_others(spark):
+    # One document holds most of the source; wherever it stands in the order, the others still fill the budget.
+    rows = [(k, "a", 900 if k == 0 else 10) for k in range(60)] + [(100, "b", 1000)]
+    targets = spark.createDataFrame([("a", 0.2, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(4):
+        uses, report = mixing.mix_sources(spark.createDataFrame(rows, "doc_id int, source string, n_tokens long"), targets, seed=seed)
+        r = report.first()
+        assert r["budget"] - r["reached"] < 10 and not r["short"]
+        assert max(u["uses"] for u in uses.collect()) == 1
+
+
 # 10
 
 
