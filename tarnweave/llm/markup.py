@@ -275,12 +275,28 @@ def trees() -> dict[str, Tree]:
     return _trees
 
 
+def blocks_of(page: str) -> list[str]:
+    """The page's lines; lines that a comment spans are one block."""
+    if "<!--" not in page:
+        return page.split("\n")
+    out, at = [], 0
+    for m in _COMMENT.finditer(page):
+        if "\n" in m.group(0):
+            begin = page.rfind("\n", at, m.start()) + 1 or at
+            end = page.find("\n", m.end())
+            end = len(page) if end < 0 else end
+            out += page[at : begin - 1].split("\n") if begin > at else []
+            out.append(page[begin:end])
+            at = end + 1
+    return out + page[at:].split("\n") if at <= len(page) else out
+
+
 def kinds_of(page: str) -> set[str]:
     """Kinds of markup that a page's blocks (its lines; a comment may span several) hold."""
     if not _ANY.search(page):
         return set()
-    found: set[str] = {"html"} if "<!--" in page and _COMMENT.search(page) else set()
-    lines = page.split("\n")
+    found: set[str] = set()
+    lines = blocks_of(page)
     grown = trees()
     for i, line in enumerate(lines):
         if _ANY.search(line):
@@ -296,21 +312,77 @@ _SCRIPT = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>", re.I | re.S)
 _PRE = re.compile(r"<pre[^>]*>(.*?)</pre\s*>", re.I | re.S)
 _BREAK = re.compile(r"<(?:br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table)\b[^>]*>", re.I)
 _LATEX_HEAD = re.compile(r"\\(?:sub){0,2}(?:section|chapter|paragraph|title)\*?\{([^{}]*)\}")
-_LATEX_DROP = re.compile(r"~?\\(?:cite[pt]?|ref|eqref|label|footnote|begin|end|documentclass|usepackage|includegraphics|caption)\*?(?:\[[^\]]*\])?\{[^{}]*\}(?:\{[^{}]*\})?")
-_LATEX_KEEP = re.compile(r"\\(?:textbf|textit|emph|underline|texttt|url|text|mbox)\{([^{}]*)\}")
+_LATEX_DROP = re.compile(r"~?\\(?:cite[pt]?|ref|eqref|label|begin|end|documentclass|usepackage|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}(?:\{[^{}]*\})?")
+_LATEX_KEEP = re.compile(r"\\(?:textbf|textit|emph|underline|texttt|url|text|mbox|caption)\*?\{([^{}]*)\}")
+_LATEX_NOTE = re.compile(r"\\footnote\{([^{}]*)\}")
+_LATEX_CODE = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\*?\}(?:\[[^\]]*\])?(?:\{[^{}]*\})?\n?(.*?)\n?\\end\{\1\*?\}", re.S)
+_LATEX_FORMULA = re.compile(r"\\begin\{(equation|align|gather|displaymath|math|eqnarray)(\*?)\}(.*?)\\end\{\1\2\}|\\\[(.*?)\\\]", re.S)
+_LATEX_INLINE = re.compile(r"\\\((.+?)\\\)")
 _MATH = re.compile(r"\$\$.+?\$\$|\$[^$\n]+\$", re.S)
+_WIKI_CODE = re.compile(r"<(syntaxhighlight|source|pre)\b[^>]*>(.*?)</\1\s*>", re.I | re.S)
+_WIKI_FORMULA = re.compile(r"<math\b[^>]*>(.*?)</math\s*>", re.I | re.S)
+_WIKI_FILE = re.compile(r"\[\[(?:File|Image):[^\[\]]*?(?:\|([^\[\]|]*))?\]\]", re.I)
+#: Parameters of a picture, which are no caption.
+_WIKI_LOOKS = frozenset("thumb thumbnail frame frameless border left right center none upright".split())
+_FENCE = "```"
+
+
+def _fenced(code: str) -> str:
+    return f"\n{_FENCE}\n{code.strip(chr(10))}\n{_FENCE}\n"
+
+
+def _formula(body: str) -> str:
+    text = " ".join(body.split())
+    return f"\n$$ {text} $$\n" if text else "\n"
+
+
+def _caption(m: re.Match[str]) -> str:
+    last = (m.group(1) or "").strip()
+    return "" if last.lower() in _WIKI_LOOKS or re.fullmatch(r"\d+px", last) else last
+
+
+def _indented(text: str) -> str:
+    """Lines that four blanks or a tab indent, behind a blank line and outside fences and lists, as fenced code."""
+    out: list[str] = []
+    fence = listed = code = False
+    before = ""
+    for line in text.split("\n"):
+        if SIGNS["fence"].match(line):
+            fence = not fence
+        deep = line.startswith(("    ", "\t")) and bool(line.strip())
+        if code and not deep and line.strip():
+            out.append(_FENCE)
+            code = False
+        if deep and not code and not fence and not listed and not before.strip():
+            out.append(_FENCE)
+            code = True
+        if line.strip() and not deep:
+            listed = re.match(r"\s*(?:[-*+]|\d+[.)])\s", line) is not None
+        out.append(re.sub(r"^(?:    |\t)", "", line) if code else line)
+        before = line
+    return "\n".join([*out, _FENCE] if code else out)
 
 
 def clean(page: str, kinds: set[str]) -> str:
     """The page's text without markup of these kinds.
 
-    Headings come as lines that begin with `# `, list items with `- `, code between lines of three back-ticks, formulas
-    between dollar signs; cells of a table row are parted by ` | `. Signs of other kinds stay as they are.
+    Headings come as lines that begin with `# `, list items with `- `, code between lines of three back-ticks (also what
+    Markdown indents, and LaTeX and wikis put into their elements), formulas between dollar signs; cells of a table row are
+    parted by ` | `. Footnotes stand in brackets, captions stay. Signs of other kinds stay as they are.
     """
     text = page
+    if "latex" in kinds:
+        text = _LATEX_CODE.sub(lambda m: _fenced(m.group(2)), text)
+        text = _LATEX_FORMULA.sub(lambda m: _formula(m.group(3) or m.group(4) or ""), text)
+        text = _LATEX_INLINE.sub(r"$\1$", text)
+    if "wiki" in kinds:
+        text = _WIKI_CODE.sub(lambda m: _fenced(m.group(2)), text)
+        text = _WIKI_FORMULA.sub(lambda m: f"${m.group(1).strip()}$", text)
+    if "markdown" in kinds and ("    " in text or "\t" in text):
+        text = _indented(text)
     if "html" in kinds:
         text = _SCRIPT.sub(" ", _COMMENT.sub("", text))
-        text = _PRE.sub(lambda m: f"\n```\n{m.group(1).strip()}\n```\n", text)
+        text = _PRE.sub(lambda m: _fenced(m.group(1)), text)
         text = _HEAD_TAG.sub(r"\n# \1\n", text)
         text = re.sub(r"<li\b[^>]*>", "\n- ", _BREAK.sub("\n", text), flags=re.I)
         text = html.unescape(_HTML_TAG.sub("", text))
@@ -319,9 +391,9 @@ def clean(page: str, kinds: set[str]) -> str:
     code = False
     for line in text.split("\n"):
         bare = line.rstrip("\r")
-        if "markdown" in kinds and SIGNS["fence"].match(bare) or "html" in kinds and bare == "```":
+        if "markdown" in kinds and SIGNS["fence"].match(bare) or kinds and bare == _FENCE:
             code = not code
-            out.append("```")
+            out.append(_FENCE)
             continue
         if code:
             out.append(bare)
@@ -339,7 +411,8 @@ def clean(page: str, kinds: set[str]) -> str:
         if "wiki" in kinds:
             if SIGNS["wikitable"].match(bare):
                 continue
-            bare = re.sub(r"\[\[(?:Category|File|Image):[^\[\]]*\]\]", "", SIGNS["template"].sub("", bare), flags=re.I)
+            bare = _WIKI_FILE.sub(_caption, SIGNS["template"].sub("", bare))
+            bare = re.sub(r"\[\[Category:[^\[\]]*\]\]", "", bare, flags=re.I)
             bare = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", bare)
             bare = re.sub(r"^\s*(={2,6})\s*([^=\s].*?)\s*\1\s*$", r"# \2", bare)
             bare = re.sub(r"(?<!')('{2,3})(?!')([^']+)\1(?!')", r"\2", bare)
@@ -352,7 +425,7 @@ def clean(page: str, kinds: set[str]) -> str:
             bare = _MATH.sub(lambda m, kept=maths: kept.append(m.group(0)) or f"\x00{len(kept) - 1}\x00", bare) if SIGNS["math"].search(bare) else bare
             bare = _LATEX_DROP.sub("", _LATEX_HEAD.sub(r"# \1", bare))
             for _ in range(3):
-                bare = _LATEX_KEEP.sub(r"\1", bare)
+                bare = _LATEX_NOTE.sub(r" (\1)", _LATEX_KEEP.sub(r"\1", bare))
             bare = re.sub(r"^\s*\\item\s*", "- ", bare)
             bare = re.sub("\x00(\\d+)\x00", lambda m, kept=maths: kept[int(m.group(1))], bare)
         out.append(re.sub(r"^\s*[*•]\s+", "- ", bare.rstrip()) if kinds else bare)

@@ -38,7 +38,7 @@ OTHERS = {
 }
 CONNECTIVES = frozenset("because although though whereas while however therefore consequently moreover furthermore nevertheless notwithstanding insofar unless since thus hence provided despite accordingly likewise conversely".split())
 SUBORDINATE = frozenset("that which who whose whom because although though whereas while when where if unless since before after until how why whether insofar notwithstanding according compared including".split())
-FEATURES = ("word_length", "long_words", "very_long_words", "sentence_length", "diversity", "rarity", "connectives", "clause_depth", "commas", "hardest_sentences")
+FEATURES = ("word_length", "long_words", "very_long_words", "sentence_length", "diversity", "rarity", "connectives", "clause_depth", "commas", "plain_quarter")
 
 
 def words_of(text: str) -> list[str]:
@@ -59,7 +59,8 @@ def text_features(text: str, words: list[str], bits: dict[str, float], rarest: f
     n = len(words)
     sentences = max(1, len(_END.findall(text)))
     lengths = [len(w) for w in words]
-    pieces = [words[k : k + 50] for k in range(0, max(1, n - 24), 50)]
+    # Pieces of 50 words; the last one ends with the text, so that every word is in one and all are of one size.
+    pieces = [words[k : k + 50] for k in [*range(0, max(0, n - 50), 50), max(0, n - 50)]]
     per_piece = [sum(len(w) for w in p) / len(p) for p in pieces]
     return [
         sum(lengths) / n,

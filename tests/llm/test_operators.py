@@ -382,6 +382,31 @@ def test_clean_text():
     assert markup.clean("", kinds) == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "kind", "want"),
+    [
+        ("It grew\\footnote{See \\emph{above}.} fast.\n\\caption{The mill}", "latex", "It grew (See above.) fast.\nThe mill"),
+        ("a\n\\begin{verbatim}\n% x  *y*\n\\end{verbatim}\nb", "latex", "a\n\n```\n% x  *y*\n```\n\nb"),
+        ("\\begin{equation}\n a_1 = b\n\\end{equation}", "latex", "$$ a_1 = b $$"),
+        ("so \\[ x^2 \\] and \\(y\\)", "latex", "so\n$$ x^2 $$\n and $y$"),
+        ("[[File:Mill.jpg|thumb|The old mill]] stands", "wiki", "The old mill stands"),
+        ("[[File:Mill.jpg|thumb]] stands", "wiki", " stands"),
+        ("<syntaxhighlight lang=c>\nint x;\n</syntaxhighlight>\n<math>e^x</math>", "wiki", "```\nint x;\n```\n\n$e^x$"),
+        ("Run it:\n\n    make all\n    make *test*\n\nand wait", "markdown", "Run it:\n\n```\nmake all\nmake *test*\n\n```\nand wait"),
+        ("- a\n\n    still a", "markdown", "- a\n\n    still a"),
+    ],
+)
+def test_code_formulas_notes_and_captions_stay(page, kind, want):
+    assert markup.clean(page, {kind}) == want
+
+
+@pytest.mark.parametrize("page", ["a\nb <!-- x\ny -->\nc", "<!-- x\n\ny --> z <!-- t\nu -->", "a\n<!-- one -->\nb", "a <!-- open\nb", "", "<!--\n-->"])
+def test_comments_of_several_lines_are_one_block(page):
+    blocks = markup.blocks_of(page)
+    assert "\n".join(blocks) == page
+    assert markup.kinds_of(page) == ({"html"} if "-->" in page else set())
+
+
 def test_strip_markup_rows(spark):
     df = spark.createDataFrame([(1, "a <b>b</b>", "x"), (2, None, "x"), (3, "", "x"), (1, "a <b>b</b>", "x"), (4, LONG, "x")], "fetch_id int, page string, kinds string")
     got = sorted((r["fetch_id"], r["kinds"], r["text"]) for r in markup.strip_markup(df).where("fetch_id <> 2").collect())
