@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tarnweave.functions.similarity import suggest
@@ -48,3 +51,21 @@ def search_or_suggest(scores: DataFrame, query: str, page: int = 1) -> tuple[Dat
     likest = {r["word"]: r["suggestion"] for r in suggest(scores.select("word"), [w for w in query.split(" ") if w]).collect()}
     better = " ".join(likest.get(w, w) for w in query.split(" "))
     return search(scores, better, page), better
+
+
+@dataclass
+class Answer:
+    """A page of results as shown: rows, the query they are of, whether another page follows, and the milliseconds it took."""
+
+    rows: list[Row]
+    query: str
+    more: bool
+    milliseconds: float
+
+
+def answer(scores: DataFrame, pages: DataFrame, query: str, page: int = 1) -> Answer:
+    """Hits or those of the suggested query, with titles and descriptions, in order; a page of them reaches the driver."""
+    start = time.perf_counter()
+    found, asked = search_or_suggest(scores, query, page)
+    rows = hydrate(found, pages).orderBy(F.round("score", 9).desc(), "url").collect()
+    return Answer(rows, asked, has_next(scores, asked, page), 1000 * (time.perf_counter() - start))

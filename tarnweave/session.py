@@ -20,6 +20,10 @@ _DEFAULTS = {
 }
 
 
+#: Folders and tables that this process wrote as scratch.
+_written: list[tuple[str, str | None]] = []
+
+
 def get_session(app: str = "tarnweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; `conf` wins over them."""
     builder = SparkSession.builder.appName(app)
@@ -49,13 +53,14 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` to the shared folder as Parquet and read it back.
 
     Lineage ends at the written files, which outlive any executor, and each column stays prunable. Spark removes nothing
-    there by itself; `release` does so for a caller who is done.
+    there by itself; `release` does so for one table, `release_all` for all, for a caller who is done.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/tarnweave/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tarnweave_path = path
+    _written.append((path, None))
     return back
 
 
@@ -68,6 +73,7 @@ def bucketed(df: DataFrame, key: str, name: str = "step") -> DataFrame:
     df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
     back = spark.table(table)
     back._tarnweave_path, back._tarnweave_table = path, table
+    _written.append((path, table))
     return back
 
 
@@ -77,15 +83,25 @@ def spread(table: DataFrame) -> DataFrame:
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
-def release(df: DataFrame) -> None:
-    """Delete what `materialise` wrote; `df` can't be read afterwards."""
-    path, table = getattr(df, "_tarnweave_path", None), getattr(df, "_tarnweave_table", None)
+def _delete(spark: SparkSession, path: str | None, table: str | None) -> None:
     if table:
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete what `materialise` or `bucketed` wrote; `df` can't be read afterwards."""
+    _delete(df.sparkSession, getattr(df, "_tarnweave_path", None), getattr(df, "_tarnweave_table", None))
+
+
+def release_all(spark: SparkSession) -> int:
+    """Delete all scratch tables that this process wrote, once its results are read or stored; returns how many."""
+    n = len(_written)
+    while _written:
+        _delete(spark, *_written.pop())
+    return n
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -328,3 +328,32 @@ def test_writes_during_a_fold_stay(spark, tmp_path):
     assert store.get("t", "k", "a") == "2" and len(store._live("t")) == 1
     TableStore(spark, f"file://{tmp_path}/store").put("t", "k", "a", "3")
     assert store.get("t", "k", "a") == "3"
+
+
+def test_answers_tell_their_time(spark):
+    scores = spark.createDataFrame([("fox", f"u{k}", float(k)) for k in range(12)], "word string, url string, score double")
+    shown = spark.createDataFrame([("u11", "Eleven", "[x]about foxes")], "url string, title string, description string")
+    got = search.answer(scores, shown, "fux")
+    assert got.query == "fox" and got.more and got.milliseconds > 0 and len(got.rows) == 10
+    assert tuple(got.rows[0]) == ("u11", 11.0, "Eleven", "about foxes") and got.rows[1]["title"] == "u10"
+    assert not search.answer(scores, shown, "fox", 2).more
+
+
+def test_scratch_is_deleted(spark):
+    from tarnweave.session import bucketed, materialise, release_all
+
+    release_all(spark)
+    df = spark.range(5)
+    kept = [materialise(df, "one"), bucketed(df, "id", "two")]
+    paths = [k._tarnweave_path for k in kept]
+    assert [k.count() for k in kept] == [5, 5]
+    fs = spark._jvm.org.apache.hadoop.fs.Path(paths[0]).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert release_all(spark) == 2 and not any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p)) for p in paths)
+
+
+def test_ranks_need_an_end(spark):
+    nodes = spark.createDataFrame([("a",)], "id string")
+    edges = spark.createDataFrame([], "src string, dst string")
+    with pytest.raises(ValueError):
+        rank.pagerank(nodes, edges, threshold=0.0)
+    assert rank.pagerank(nodes, edges).first()["rank"] == pytest.approx(0.15)
