@@ -16,7 +16,9 @@ from tarnweave.llm.common import table
 KINDS = ("html", "markdown", "wiki", "latex")
 _TAGS = "a|abbr|article|aside|b|big|blockquote|body|br|button|center|cite|code|col|dd|div|dl|dt|em|figure|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|label|li|link|main|meta|nav|noscript|ol|option|p|pre|s|script|section|select|small|span|strike|strong|style|sub|sup|table|tbody|td|textarea|tfoot|th|thead|title|tr|tt|u|ul|video"
 _HTML_TAG = re.compile(rf"</?(?:{_TAGS})(?:\s[^<>]*)?/?>", re.I)
-_COMMENT = re.compile(r"<!--.*?-->|<!doctype[^>]*>", re.I | re.S)
+#: A comment, told from the last opening before its end, so that many openings without an end cost no more than one look each.
+_COMMENT = re.compile(r"<!--(?:(?!<!--).)*?-->|<!doctype[^<>]*>", re.I | re.S)
+_DOCTYPE = re.compile(r"<!doctype[^<>]*>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,6}|#x[0-9a-f]{1,5}|nbsp|amp|lt|gt|quot|apos|copy|reg|[a-z]{2,8}(?:acute|grave|circ|uml|tilde|cedil|slash|ring)|ndash|mdash|hellip|bull|middot|laquo|raquo|[lr]s?[dq]?quo|times|euro|szlig|trade|deg);", re.I)
 _COMMANDS = "section|subsection|subsubsection|chapter|paragraph|begin|end|textbf|textit|emph|underline|texttt|citep?|citet|ref|eqref|label|footnote|url|href|caption|item|title|author|documentclass|usepackage|includegraphics|frac|sum|int|sqrt|alpha|beta|gamma|left|right|leq|geq|cdot|times|ldots|mathrm|mathbf"
 #: What is counted in a block, by name; each pattern is evidence for or against one kind.
@@ -275,19 +277,36 @@ def trees() -> dict[str, Tree]:
     return _trees
 
 
+def comments_of(page: str) -> Iterator[tuple[int, int]]:
+    """Where comments begin and end, one after the other."""
+    at = page.find("<!--")
+    while at >= 0:
+        end = page.find("-->", at + 4)
+        if end < 0:
+            return
+        yield at, end + 3
+        at = page.find("<!--", end + 3)
+
+
+def without_comments(page: str) -> str:
+    out, at = [], 0
+    for begin, end in comments_of(page):
+        out.append(page[at:begin])
+        at = end
+    return _DOCTYPE.sub("", "".join([*out, page[at:]]))
+
+
 def blocks_of(page: str) -> list[str]:
     """The page's lines; lines that a comment spans are one block."""
-    if "<!--" not in page:
-        return page.split("\n")
     out, at = [], 0
-    for m in _COMMENT.finditer(page):
-        if "\n" in m.group(0):
-            begin = page.rfind("\n", at, m.start()) + 1 or at
-            end = page.find("\n", m.end())
-            end = len(page) if end < 0 else end
-            out += page[at : begin - 1].split("\n") if begin > at else []
-            out.append(page[begin:end])
-            at = end + 1
+    for begin, end in comments_of(page):
+        if begin >= at and "\n" in page[begin:end]:
+            first = page.rfind("\n", at, begin) + 1 or at
+            last = page.find("\n", end)
+            last = len(page) if last < 0 else last
+            out += page[at : first - 1].split("\n") if first > at else []
+            out.append(page[first:last])
+            at = last + 1
     return out + page[at:].split("\n") if at <= len(page) else out
 
 
@@ -371,19 +390,26 @@ def clean(page: str, kinds: set[str]) -> str:
     parted by ` | `. Footnotes stand in brackets, captions stay. Signs of other kinds stay as they are.
     """
     text = page
-    if "latex" in kinds:
+    if "latex" in kinds and "\\end{" in text:
         text = _LATEX_CODE.sub(lambda m: _fenced(m.group(2)), text)
+    if "latex" in kinds:
         text = _LATEX_FORMULA.sub(lambda m: _formula(m.group(3) or m.group(4) or ""), text)
         text = _LATEX_INLINE.sub(r"$\1$", text)
-    if "wiki" in kinds:
+    if "wiki" in kinds and "</" in text:
         text = _WIKI_CODE.sub(lambda m: _fenced(m.group(2)), text)
         text = _WIKI_FORMULA.sub(lambda m: f"${m.group(1).strip()}$", text)
     if "markdown" in kinds and ("    " in text or "\t" in text):
         text = _indented(text)
     if "html" in kinds:
-        text = _SCRIPT.sub(" ", _COMMENT.sub("", text))
-        text = _PRE.sub(lambda m: _fenced(m.group(1)), text)
-        text = _HEAD_TAG.sub(r"\n# \1\n", text)
+        text = without_comments(text)
+        # Elements that never end are looked for only once.
+        lower = text.lower()
+        if any(f"</{name}" in lower for name in ("script", "style", "noscript")):
+            text = _SCRIPT.sub(" ", text)
+        if "</pre" in lower:
+            text = _PRE.sub(lambda m: _fenced(m.group(1)), text)
+        if "</h" in lower:
+            text = _HEAD_TAG.sub(r"\n# \1\n", text)
         text = re.sub(r"<li\b[^>]*>", "\n- ", _BREAK.sub("\n", text), flags=re.I)
         text = html.unescape(_HTML_TAG.sub("", text))
         text = _HTML_TAG.sub("", text).replace("\xa0", " ")

@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -407,6 +408,13 @@ def test_comments_of_several_lines_are_one_block(page):
     assert markup.kinds_of(page) == ({"html"} if "-->" in page else set())
 
 
+@pytest.mark.parametrize("text", ["<!--" * 20_000, "<script " * 20_000, "\\begin{verbatim}" * 5_000, "<pre>" * 20_000, "<!doctype " * 20_000])
+def test_openings_without_end_take_little_time(text):
+    began = time.perf_counter()
+    markup.clean(text, markup.kinds_of(text) | set(markup.KINDS))
+    assert time.perf_counter() - began < 10
+
+
 def test_strip_markup_rows(spark):
     df = spark.createDataFrame([(1, "a <b>b</b>", "x"), (2, None, "x"), (3, "", "x"), (1, "a <b>b</b>", "x"), (4, LONG, "x")], "fetch_id int, page string, kinds string")
     got = sorted((r["fetch_id"], r["kinds"], r["text"]) for r in markup.strip_markup(df).where("fetch_id <> 2").collect())
